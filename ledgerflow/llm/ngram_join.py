@@ -3,10 +3,10 @@
 Two steps, neither of which loses a link:
 
 1. *Where to look.* Two sets of sizes a <= b with similarity >= t differ in at most
-   (a + b)(1 - t)/(1 + t) elements. Hash space is cut into one range more than that bound allows for a
-   size class, so at least one range holds the same elements in both. Each set
-   gives a signature for each range; sets that share a signature meet. Signatures of unlike sets all but
-   never agree, however frequent single n-grams are. Each task keeps one row per signature
+   (a + b)(1 - t)/(1 + t) elements, call it d. Hash space is cut into m > d ranges, so at least m - d ranges hold the same
+   elements in both. Each set gives a signature for each range but its emptiest ones, of which it may leave out
+   (m - d - 1)/2: both sets together cannot leave out all that agree. Sets that share a signature meet.
+   Signatures of unlike sets seldom agree, however frequent single n-grams are. Each task keeps one row per signature
    (the others become links in its forest), so a signature that a third of all rows share
    reaches the shuffle once per task, not once per row.
 2. *Prefix-tree join.* The connected groups of step 1 are joined exactly: n-grams get one
@@ -39,8 +39,10 @@ _LOWER[0x41:0x5B] += 32
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEP = np.uint64(0x9FB21C651E98DF25)
 #: Signatures a task holds before it passes them on, and the members and n-grams of a block of a group.
-HELD_SIGNATURES = 1_500_000
-BLOCK_SETS, BLOCK_GRAMS = 4096, 4_000_000
+HELD_SIGNATURES = 400_000
+BLOCK_SETS, BLOCK_GRAMS = 4096, 1_000_000
+#: Ranges are 1/SLACK more than the bound asks for, so that nearly empty ones can be left out.
+SLACK = 4
 
 
 def _powers(n: int) -> np.ndarray:
@@ -114,13 +116,18 @@ def signatures(grams: np.ndarray, threshold: float, classes: np.ndarray) -> np.n
     if c < 0:
         return digest
     out = []
+    most = (1 - threshold) / threshold
     for k in [c] if c == 0 or threshold * n >= classes[c] else [c, c - 1]:
-        parts = int((classes[k + 1] - 1) * (1 - threshold) / threshold + 1e-9) + 1
+        top = int((classes[k + 1] - 1) * most + 1e-9)
+        parts = top + 1 + top // SLACK + 2
         part = ((grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
         sums = np.zeros(parts + 1, np.uint64)
         sums[1:] = np.cumsum(mix(grams + np.uint64(k)))[edges[1:] - 1] * (edges[1:] > 0)
-        out.append(mix(np.diff(sums) ^ mix(np.arange(parts, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(k))))
+        sig = mix(np.diff(sums) ^ mix(np.arange(parts, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(k)))
+        #: A partner differs in at most n * most elements, whichever of the two is larger; in class k - 1 the bound is top as well.
+        skip = max(0, (parts - min(int(n * most + 1e-9), top) - 1) // 2)
+        out.append(sig[np.argpartition(np.diff(edges), skip)[skip:]] if skip else sig)
     return np.unique(np.concatenate(out))
 
 
