@@ -4,8 +4,9 @@ Two steps, neither of which loses a link:
 
 1. *Where to look.* Two sets of sizes a <= b with similarity >= t differ in at most
    (a + b)(1 - t)/(1 + t) elements, call it d. Hash space is cut into m > d ranges, so at least m - d ranges hold the same
-   elements in both. Each set gives a signature for each range but its emptiest ones, of which it may leave out
-   (m - d - 1)/2: both sets together cannot leave out all that agree. Sets that share a signature meet.
+   elements in both. Each set gives a signature for each range but those with the fewest uncommon n-grams, of which it may leave out
+   (m - d - 1)/2: both sets together cannot leave out all that agree, whichever they are. What is common comes from counts over all data;
+   the list is bounded, and what it lacks costs time, not links. Sets that share a signature meet.
    Signatures of unlike sets seldom agree, however frequent single n-grams are. Each task keeps one row per signature
    (the others become links in its forest), so a signature that a third of all rows share
    reaches the shuffle once per task, not once per row.
@@ -40,9 +41,11 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEP = np.uint64(0x9FB21C651E98DF25)
 #: Signatures a task holds before it passes them on, and the members and n-grams of a block of a group.
 HELD_SIGNATURES = 400_000
-BLOCK_SETS, BLOCK_GRAMS = 4096, 1_000_000
+BLOCK_SETS, BLOCK_GRAMS = 4096, 2_000_000
 #: Ranges are 1/SLACK more than the bound asks for, so that nearly empty ones can be left out.
 SLACK = 4
+#: N-grams that one count of a task takes in, and those that a list of common ones holds at most (2 MB).
+COUNTED_GRAMS, COMMON_GRAMS = 1_000_000, 1 << 18
 
 
 def _powers(n: int) -> np.ndarray:
@@ -108,8 +111,8 @@ def size_classes(threshold: float, largest: int) -> np.ndarray:
     return np.array(ends)
 
 
-def signatures(grams: np.ndarray, threshold: float, classes: np.ndarray) -> np.ndarray:
-    """Signatures of one set: two sets that reach the threshold share at least one."""
+def signatures(grams: np.ndarray, threshold: float, classes: np.ndarray, rare: np.ndarray | None = None) -> np.ndarray:
+    """Signatures of one set: two sets that reach the threshold share at least one. ``rare``: running count of the uncommon n-grams."""
     n = len(grams)
     c = int(np.searchsorted(classes, n, "right")) - 1
     digest = mix(np.add.reduce(mix(grams ^ np.uint64(0x51ED270B9F)), keepdims=True) + np.uint64(n))
@@ -127,7 +130,7 @@ def signatures(grams: np.ndarray, threshold: float, classes: np.ndarray) -> np.n
         sig = mix(np.diff(sums) ^ mix(np.arange(parts, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(k)))
         #: A partner differs in at most n * most elements, whichever of the two is larger; in class k - 1 the bound is top as well.
         skip = max(0, (parts - min(int(n * most + 1e-9), top) - 1) // 2)
-        out.append(sig[np.argpartition(np.diff(edges), skip)[skip:]] if skip else sig)
+        out.append(sig[np.argpartition(np.diff(edges if rare is None else rare[edges]), skip)[skip:]] if skip else sig)
     return np.unique(np.concatenate(out))
 
 
@@ -138,7 +141,59 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _signature_rows(width: int, threshold: float):
+def _count_rows(width: int):
+    """(n-gram, number of sets) for those that several sets of a run of rows hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            gram, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(_signed(gram[n > 1])), pa.array(n[n > 1])], names=["gram", "n"])
+
+        for whole in batches:
+            for batch in by_bytes(whole):
+                held += gram_sets(batch.column("text"), width)
+                size = sum(map(len, held))
+                if size >= COUNTED_GRAMS:
+                    yield out()
+                    held = []
+        if held:
+            yield out()
+
+    return run
+
+
+def common_grams(texts: DataFrame, width: int, most: int = COMMON_GRAMS) -> np.ndarray:
+    """At most ``most`` n-grams that many sets hold, as sorted hashes: all with a count of 2**k or more, for the least k that keeps the bound."""
+    counts = texts.mapInArrow(_count_rows(width), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n >= 4")
+    work = Workspace(texts.sparkSession, "common-grams")
+    counts = work.save(counts, "counts")
+    levels = sorted(((r.k, r.n) for r in counts.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    total, least = 0, None
+    for k, n in levels:
+        total += n
+        if total > most:
+            break
+        least = k
+    found = counts.where(F.col("n") >= (1 << least)).select("gram").toArrow().column("gram").to_numpy() if least is not None else np.zeros(0, np.int64)
+    work.drop(counts)
+    return np.sort(np.ascontiguousarray(found).view(np.uint64))
+
+
+def _uncommon(sets: list[np.ndarray], common: np.ndarray) -> list[np.ndarray | None]:
+    """For every set the running count of what ``common`` lacks."""
+    if not len(common) or not sets:
+        return [None] * len(sets)
+    flat = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+    through = np.concatenate([[0], np.cumsum(common[at] != flat)])
+    begin = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    return [through[a : b + 1] - through[a] for a, b in zip(begin[:-1], begin[1:], strict=True)]
+
+
+def _signature_rows(width: int, threshold: float, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
         sizes: list[int] = []
@@ -175,13 +230,14 @@ def _signature_rows(width: int, threshold: float):
 
         for whole in batches:
             for batch in by_bytes(whole):
-                for doc, grams in zip(batch.column("id").to_pylist(), gram_sets(batch.column("text"), width), strict=True):
+                found = gram_sets(batch.column("text"), width)
+                for doc, grams, rare in zip(batch.column("id").to_pylist(), found, _uncommon(found, common), strict=True):
                     if len(grams) >= classes[-1]:
                         classes = size_classes(threshold, len(grams))
                     ids.append(doc)
                     sizes.append(len(grams))
                     digests.append((int(np.add.reduce(mix(grams ^ np.uint64(0x243F6A8885A308D3)))), int(np.bitwise_xor.reduce(mix(grams ^ np.uint64(0x13198A2E03707344)))) if len(grams) else 0))
-                    sigs.append(signatures(grams, threshold, classes) if len(grams) and doc is not None else grams[:0])
+                    sigs.append(signatures(grams, threshold, classes, rare) if len(grams) and doc is not None else grams[:0])
                     held += len(sigs[-1]) + 8
                 if held >= HELD_SIGNATURES:
                     yield out()
@@ -297,7 +353,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     small_batches(spark)
     work = Workspace(spark, "ngram-join")
     texts = id_text(docs, id_col, text_col)
-    base = work.save(texts.mapInArrow(_signature_rows(width, threshold), _BASE), "signatures", **{"parquet.enable.dictionary": "false"})
+    base = work.save(texts.mapInArrow(_signature_rows(width, threshold, common_grams(texts, width)), _BASE), "signatures", **{"parquet.enable.dictionary": "false"})
     share = W.Window.partitionBy("sig").orderBy("id").rowsBetween(W.Window.unboundedPreceding, 0)
     met = base.select("id", F.explode("sigs").alias("sig")).withColumn("first", F.min("id").over(share)).where("first < id").select(F.col("id").alias("a"), F.col("first").alias("b"))
     local = base.select(F.col("id").alias("a"), F.explode("peers").alias("b"))
