@@ -366,7 +366,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     dealt = classes.join(blocks, "group").withColumn("own", F.pmod(F.xxhash64("class"), F.col("k")).cast("int"))
     pair = F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda x: x != F.col("own")))
     dealt = dealt.select("class", "group", "k", "own", F.explode(pair).alias("other")).select("class", "group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    gathered = texts.where("id is not null").join(dealt, F.col("id") == F.col("class")).select("group", "i", "j", "id", "text").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+    gathered = texts.where("id is not null").join(dealt.hint("merge"), F.col("id") == F.col("class")).select("group", "i", "j", "id", "text").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
     links = gathered.mapInArrow(_join_groups(width, threshold), "a long, b long")
     found = connected_components(work, links)
     named = member.join(classes.select("d0", "d1", "class"), ["d0", "d1"]).select("id", "class")
