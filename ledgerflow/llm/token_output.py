@@ -23,7 +23,12 @@ from ledgerflow.llm.common import by_bytes, small_batches
 #: Parquet settings of the files: row groups of 32 MB, pages of 64 KB with at most 2,000 rows, version 2, page checksums.
 FILE_OPTIONS = {"parquet.block.size": str(32 << 20), "parquet.page.size": str(64 << 10), "parquet.page.row.count.limit": "2000", "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.page.write-checksum.enabled": "true", "compression": "zstd"}
 END_ID = 1
-REMEMBERED = 250_000
+#: Words of a generation. A worker remembers two.
+REMEMBERED = 300_000
+#: Marks that never join letters in one token; an apostrophe does.
+#: Words that are encoded as one text.
+RUN = 50
+_MARKS = ".,;:!?*$%#&|"
 _FILE_SCHEMA = "part int, doc_id long, offset long, n_tokens long, ids array<int>"
 
 
@@ -31,7 +36,9 @@ class WordEncoder:
     """Ids of texts as the library gives them without special tokens, little-endian, four bytes each.
 
     The tokenizer drops white space, so a text's ids are those of its space-separated words in turn, and each worker encodes a repeated
-    word once. ``cuts`` holds that down to what a probe at load time confirms; otherwise whole texts are encoded.
+    word once. A word that ends in plain punctuation is its letters' ids and then the marks', and letters
+    count in lower case, as the tokenizer takes them. Words are remembered in two generations, so that a full memory forgets
+    only what was not seen lately. ``cuts`` holds that down to what a probe at load time confirms; otherwise whole texts are encoded.
     """
 
     def __init__(self, path: str) -> None:
@@ -41,23 +48,61 @@ class WordEncoder:
         self.model.no_truncation()
         self.model.no_padding()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         probe = ["Ab, c's d\ne", "Ab, c's", "d\ne", "d", "e", " x  y ", "x", "y"]
         a, b, c, d, e, f, g, h = self._ids(probe)
         self.cuts = a == b + c and c == d + e and f == g + h
+        ends = ["ÀRbre.", "àrbre", ".", "Word!!", "word", "!!", "it$$$", "it", "$$$"]
+        i = self._ids(ends)
+        vocabulary = self.model.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.splits = self.cuts and all(i[k] == i[k + 1] + i[k + 2] for k in (0, 3, 6))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _runs(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters, RUN of them to a text: each ends with the one token that carries the end of a word."""
+        out: dict[str, bytes] = {}
+        groups = [words[k : k + RUN] for k in range(0, len(words), RUN)]
+        for group, flat in zip(groups, self._ids([" ".join(g) for g in groups]), strict=True):
+            stops = (np.flatnonzero(self.last[np.frombuffer(flat, "<u4")]) + 1) * 4
+            if len(stops) == len(group):
+                out.update(zip(group, (flat[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)), strict=True))
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        known, older = self.known, self.older
+        new, whole = {}, []
+        for w in words.difference(known):
+            if (ids := older.get(w)) is not None:
+                known[w] = ids
+                continue
+            letters = w.rstrip(_MARKS)
+            if self.splits and letters.isalpha() and max(letters) < "\u0180":
+                new[w] = (letters.lower(), w[len(letters) :])
+            else:
+                whole.append(w)
+        parts = {x for p in new.values() for x in p}.difference(known)
+        for x in list(parts):
+            if (ids := older.get(x)) is not None:
+                known[x] = ids
+                parts.discard(x)
+        runs = [x for x in parts if x.isalpha()]
+        known.update(self._runs(runs))
+        listed = [*whole, *(x for x in parts if x not in known)]
+        known.update(zip(listed, self._ids(listed), strict=True))
+        for w, (letters, marks) in new.items():
+            known[w] = known[letters] + known[marks]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return self._ids(texts)
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {x for p in parts for x in p}.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = {x for p in parts for x in p}
-        listed = list(new)
-        self.known.update(zip(listed, self._ids(listed), strict=True))
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        self._learn({x for p in parts for x in p})
         look = self.known.__getitem__
         return [b"".join(map(look, p)) for p in parts]
 
