@@ -24,7 +24,7 @@ from ledgerflow.llm.common import by_bytes, small_batches
 FILE_OPTIONS = {"parquet.block.size": str(32 << 20), "parquet.page.size": str(64 << 10), "parquet.page.row.count.limit": "2000", "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.page.write-checksum.enabled": "true", "compression": "zstd"}
 END_ID = 1
 #: Words of a generation. A worker remembers two.
-REMEMBERED = 300_000
+REMEMBERED = 450_000
 #: Marks that never join letters in one token; an apostrophe does.
 #: Words that are encoded as one text.
 RUN = 50
@@ -73,14 +73,14 @@ class WordEncoder:
         return out
 
     def _learn(self, words: set[str]) -> None:
-        known, older = self.known, self.older
+        known, older, splits = self.known, self.older, self.splits
         new, whole = {}, []
         for w in words.difference(known):
             if (ids := older.get(w)) is not None:
                 known[w] = ids
                 continue
             letters = w.rstrip(_MARKS)
-            if self.splits and letters.isalpha() and max(letters) < "\u0180":
+            if splits and letters.isalpha() and (letters.isascii() or max(letters) < "\u0180"):
                 new[w] = (letters.lower(), w[len(letters) :])
             else:
                 whole.append(w)
@@ -142,9 +142,9 @@ def token_positions(spark: SparkSession, path: str) -> DataFrame:
     """(part, doc_id, start, n_tokens) read from the small columns alone; start counts the ids of all documents before."""
     meta = spark.read.schema(_FILE_SCHEMA).parquet(path).select("part", "doc_id", "offset", "n_tokens")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    #: One row per file.
+    #: One row per file, so the broadcast is bounded by the number of files.
     bases = meta.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return meta.join(bases, "part").select("part", "doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens")
+    return meta.join(F.broadcast(bases), "part").select("part", "doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -152,7 +152,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.schema(_FILE_SCHEMA).parquet(path)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = whole.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return whole.join(bases, "part").select("part", "doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids")
+    return whole.join(F.broadcast(bases), "part").select("part", "doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids")
 
 
 def ids_crc32(tokens: DataFrame) -> DataFrame:
