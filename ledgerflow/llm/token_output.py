@@ -8,6 +8,7 @@ from the sums of the files before it.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -107,6 +108,12 @@ class WordEncoder:
         return [b"".join(map(look, p)) for p in parts]
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_for(path: str) -> WordEncoder:
+    """The encoder of this worker process, kept from task to task."""
+    return WordEncoder(path)
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID, partitions: int | None = None, options: dict[str, str] = FILE_OPTIONS) -> None:
     """Encode every text and write the files below ``path``, documents in ascending id order, equal ids by text.
 
@@ -124,7 +131,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: s
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, part, done = None, TaskContext.get().partitionId(), 0
         for whole in batches:
-            encoder = encoder or WordEncoder(tokenizer_path)
+            encoder = encoder or encoder_for(tokenizer_path)
             for batch in by_bytes(whole):
                 rows = [x + end for x in encoder.encode(batch.column("text").to_pylist())]
                 n_tokens = np.array([len(x) // 4 for x in rows], np.int64)
