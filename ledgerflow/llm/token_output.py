@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,11 +25,15 @@ from ledgerflow.llm.common import by_bytes, small_batches
 #: Parquet settings of the files: row groups of 32 MB, pages of 64 KB with at most 2,000 rows, version 2, page checksums.
 FILE_OPTIONS = {"parquet.block.size": str(32 << 20), "parquet.page.size": str(64 << 10), "parquet.page.row.count.limit": "2000", "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.page.write-checksum.enabled": "true", "compression": "zstd"}
 END_ID = 1
-#: Words of a generation. A worker remembers two.
-REMEMBERED = 450_000
-#: Marks that never join letters in one token; an apostrophe does.
+#: Words that a worker remembers, as Arrow and NumPy arrays; beyond that it keeps those of the last batch.
+REMEMBERED = 800_000
+#: Letters and marks of words that a worker remembers; beyond that it starts anew.
+REMEMBERED_PARTS = 250_000
+#: UTF-8 bytes encoded at once, long single texts aside.
+STEP_BYTES = 8 << 20
 #: Words that are encoded as one text.
 RUN = 50
+#: Marks that never join letters in one token; an apostrophe does.
 _MARKS = ".,;:!?*$%#&|"
 _FILE_SCHEMA = "part int, doc_id long, offset long, n_tokens long, ids array<int>"
 
@@ -36,10 +41,11 @@ _FILE_SCHEMA = "part int, doc_id long, offset long, n_tokens long, ids array<int
 class WordEncoder:
     """Ids of texts as the library gives them without special tokens, little-endian, four bytes each.
 
-    The tokenizer drops white space, so a text's ids are those of its space-separated words in turn, and each worker encodes a repeated
-    word once. A word that ends in plain punctuation is its letters' ids and then the marks', and letters
-    count in lower case, as the tokenizer takes them. Words are remembered in two generations, so that a full memory forgets
-    only what was not seen lately. ``cuts`` holds that down to what a probe at load time confirms; otherwise whole texts are encoded.
+    The tokenizer drops white space, so a text's ids are those of its space-separated words in turn. Arrow splits the
+    texts and numbers their distinct words; those that the worker remembers are looked up in Arrow too, so Python sees
+    new words only. A word that ends in plain punctuation is its letters' ids and then the marks', and letters
+    count in lower case, as the tokenizer takes them. ``cuts`` holds that down to what a probe at load time confirms;
+    otherwise whole texts are encoded.
     """
 
     def __init__(self, path: str) -> None:
@@ -48,8 +54,9 @@ class WordEncoder:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.words = pa.array([], pa.string())
+        self.flat, self.begin, self.length = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.parts: dict[str, bytes] = {"": b""}
         probe = ["Ab, c's d\ne", "Ab, c's", "d\ne", "d", "e", " x  y ", "x", "y"]
         a, b, c, d, e, f, g, h = self._ids(probe)
         self.cuts = a == b + c and c == d + e and f == g + h
@@ -73,39 +80,59 @@ class WordEncoder:
                 out.update(zip(group, (flat[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)), strict=True))
         return out
 
-    def _learn(self, words: set[str]) -> None:
-        known, older, splits = self.known, self.older, self.splits
-        new, whole = {}, []
-        for w in words.difference(known):
-            if (ids := older.get(w)) is not None:
-                known[w] = ids
-                continue
+    def _new(self, words: list[str]) -> list[bytes]:
+        """Ids of words that aren't remembered."""
+        if len(self.parts) > REMEMBERED_PARTS:
+            self.parts = {"": b""}
+        pairs = []
+        for w in words:
             letters = w.rstrip(_MARKS)
-            if splits and letters.isalpha() and (letters.isascii() or max(letters) < "\u0180"):
-                new[w] = (letters.lower(), w[len(letters) :])
+            if self.splits and letters.isalpha() and (letters.isascii() or max(letters) < "\u0180"):
+                pairs.append((letters.lower(), w[len(letters) :]))
             else:
-                whole.append(w)
-        parts = {x for p in new.values() for x in p}.difference(known)
-        for x in list(parts):
-            if (ids := older.get(x)) is not None:
-                known[x] = ids
-                parts.discard(x)
-        runs = [x for x in parts if x.isalpha()]
-        known.update(self._runs(runs))
-        listed = [*whole, *(x for x in parts if x not in known)]
-        known.update(zip(listed, self._ids(listed), strict=True))
-        for w, (letters, marks) in new.items():
-            known[w] = known[letters] + known[marks]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+                pairs.append((w, ""))
+        fresh = {x for p in pairs for x in p}.difference(self.parts)
+        self.parts.update(self._runs([x for x in fresh if x.isalpha() and (x.isascii() or max(x) < "\u0180")]))
+        listed = [x for x in fresh if x not in self.parts]
+        self.parts.update(zip(listed, self._ids(listed), strict=True))
+        return [self.parts[a] + self.parts[b] for a, b in pairs]
+
+    def _look_up(self, words: pa.Array) -> np.ndarray:
+        """Where distinct words are in memory; new ones are added first."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+        missing = at < 0
+        if len(self.words) > REMEMBERED:
+            keep = at[~missing]
+            self.words, self.length = self.words.take(pa.array(keep)), self.length[keep]
+            self.flat, through = _take(self.flat, self.begin[keep], self.length)
+            self.begin, at[~missing] = through[:-1], np.arange(len(keep))
+        if missing.any():
+            new = words.filter(pa.array(missing))
+            ids = self._new(new.to_pylist())
+            length = np.array([len(x) for x in ids], np.int64) // 4
+            at[missing] = len(self.words) + np.arange(len(ids))
+            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(length) - length])
+            self.words, self.length = pa.concat_arrays([self.words, new]), np.concatenate([self.length, length])
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
+        return at
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in turn, where each text's ids begin and end)."""
         if not self.cuts:
-            return self._ids(texts)
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        self._learn({x for p in parts for x in p})
-        look = self.known.__getitem__
-        return [b"".join(map(look, p)) for p in parts]
+            ids = self._ids(texts.to_pylist())
+            return np.frombuffer(b"".join(ids), "<u4"), np.cumsum([0, *(len(x) // 4 for x in ids)])
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        edge = parts.offsets.to_numpy().astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        at = self._look_up(coded.dictionary)[coded.indices.to_numpy()]
+        flat, through = _take(self.flat, self.begin[at], self.length[at])
+        return flat, through[edge - edge[0]]
+
+
+def _take(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``flat`` that begin and last so, one after the other, and their edges."""
+    through = np.concatenate([[0], np.cumsum(length)])
+    return flat[np.arange(through[-1]) + np.repeat(begin - through[:-1], length)], through
 
 
 @functools.lru_cache(maxsize=1)
@@ -123,7 +150,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: s
     spark = docs.sparkSession
     small_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    end = [] if end_id is None else [end_id]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -132,12 +159,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: s
         encoder, part, done = None, TaskContext.get().partitionId(), 0
         for whole in batches:
             encoder = encoder or encoder_for(tokenizer_path)
-            for batch in by_bytes(whole):
-                rows = [x + end for x in encoder.encode(batch.column("text").to_pylist())]
-                n_tokens = np.array([len(x) // 4 for x in rows], np.int64)
+            for batch in by_bytes(whole, limit=STEP_BYTES):
+                flat, edge = encoder.encode(batch.column("text"))
+                n_tokens = np.diff(edge) + len(end)
                 ends = np.concatenate([[0], np.cumsum(n_tokens)])
-                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), "<u4").astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), part, np.int32)), batch.column("doc_id"), pa.array(done + ends[:-1]), pa.array(n_tokens), ids], names=["part", "doc_id", "offset", "n_tokens", "ids"])
+                if len(end):
+                    flat = np.insert(flat, edge[1:], end[0])
+                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, part, np.int32)), batch.column("doc_id"), pa.array(done + ends[:-1]), pa.array(n_tokens), ids], names=["part", "doc_id", "offset", "n_tokens", "ids"])
                 done += int(ends[-1])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
