@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgerflow.config import Ordering
 from ledgerflow.functions.keys import shard_index
+from ledgerflow.operators.running import running_sum
 
 
 def with_shard(records: DataFrame, shards: int) -> DataFrame:
@@ -30,8 +30,7 @@ def schedule(records: DataFrame, ordering: Ordering, shards: int = 64) -> DataFr
         return records.withColumn("start_ms", F.lit(0).cast("bigint")).withColumn("end_ms", F.col("duration_ms"))
     rows = with_shard(records, shards) if ordering == Ordering.KEY else records
     keys = ["topic", "partition"] + (["shard"] if ordering == Ordering.KEY else [])
-    lane = Window.partitionBy(*keys).orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("end_ms", F.sum("duration_ms").over(lane)).withColumn("start_ms", F.col("end_ms") - F.col("duration_ms"))
+    return running_sum(rows, keys, "offset", "duration_ms").withColumnRenamed("running", "end_ms").withColumn("start_ms", F.col("end_ms") - F.col("duration_ms"))
 
 
 def makespans(records: DataFrame, concurrency: int = 16, shards: int = 64) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerflow.operators.running import running_max
+
 TP = ("topic", "partition")
 
 
@@ -31,8 +33,7 @@ def position_history(deliveries: DataFrame, drains: DataFrame, keys: Sequence[st
     done_seq says from which drain on a whole prefix is complete; each delivery then bids its offset from that drain on.
     """
     never = F.lit((1 << 62)).cast("bigint")
-    line = Window.partitionBy(*keys).orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    ready = deliveries.withColumn("ready", F.max(F.coalesce(F.col("done_seq"), never)).over(line))
+    ready = running_max(deliveries.withColumn("done_seq", F.coalesce(F.col("done_seq"), never)), keys, "offset", "done_seq").withColumnRenamed("running", "ready")
     bids = ready.groupBy(*keys, "ready").agg((F.max("offset") + 1).alias("bid"))
     floor = deliveries.groupBy(*keys).agg(F.min("offset").alias("floor"))
     events = bids.select(*keys, F.col("ready").alias("drain_seq"), "bid", F.lit(False).alias("drain")).unionByName(drains.select(*keys, "drain_seq", F.lit(None).cast("bigint").alias("bid"), F.lit(True).alias("drain")))

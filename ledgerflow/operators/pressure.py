@@ -8,17 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerflow.operators.running import running_sum
+
+#: Milliseconds of a block of the in-flight sum, about 17 minutes.
+TIME_BLOCK = 1 << 20
+
 
 def in_flight(spans: DataFrame, keys: Sequence[str], start: str = "start_ms", end: str = "end_ms") -> DataFrame:
     """(keys, t_ms, n): records in flight after all changes at t_ms; ends count before starts.
 
-    Changes are summed per time stamp first, so the running sum sees one row for each.
+    Changes are summed per time stamp first, so the running sum sees one row for each; its blocks are spans of time.
+    A span without an end stays open; one without a start never was.
     """
+    spans = spans.where(F.col(start).isNotNull())
     ups = spans.select(*keys, F.col(start).alias("t_ms"), F.lit(1).alias("d"))
-    downs = spans.select(*keys, F.col(end).alias("t_ms"), F.lit(-1).alias("d"))
+    downs = spans.where(F.col(end).isNotNull()).select(*keys, F.col(end).alias("t_ms"), F.lit(-1).alias("d"))
     step = ups.unionByName(downs).groupBy(*keys, "t_ms").agg(F.sum("d").alias("d"))
-    line = Window.partitionBy(*keys).orderBy("t_ms").rowsBetween(Window.unboundedPreceding, 0)
-    return step.withColumn("n", F.sum("d").over(line)).drop("d")
+    return running_sum(step, keys, "t_ms", "d", TIME_BLOCK).withColumnRenamed("running", "n").drop("d")
 
 
 def peak(spans: DataFrame, keys: Sequence[str]) -> DataFrame:

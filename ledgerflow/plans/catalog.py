@@ -376,7 +376,10 @@ def still_owned(spark, sf):
     return frontier.still_owned(tagged, own).groupBy("partition").agg(F.count("*").alias("n"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS violations")
+@query(f"""WITH {REC}, p AS (SELECT *, min(done::INT) OVER (PARTITION BY "partition" ORDER BY "offset" ROWS UNBOUNDED PRECEDING) = 1 AS prefix FROM rec),
+  pos AS (SELECT "partition", coalesce(max(CASE WHEN prefix THEN "offset" + 1 END), min("offset")) AS position FROM p GROUP BY 1),
+  hole AS (SELECT "partition", min("offset") AS hole FROM rec WHERE NOT done GROUP BY 1)
+  SELECT CAST(count(*) AS BIGINT) AS violations FROM pos JOIN hole USING ("partition") WHERE position > hole""")
 def no_commit_past_unfinished(spark, sf):
     rows = _done(spark, sf)
     return verify.commits_past_unfinished(frontier.commit_positions(rows), rows).agg(F.count("*").alias("violations"))
@@ -542,12 +545,18 @@ def fifo_violations_by_key(spark, sf):
     return verify.order_violations(rows, ["conv_id"], "turn", "observed")
 
 
-@query(f'WITH {REC} SELECT "partition", CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS violations FROM rec GROUP BY 1')
+@query(f"""WITH {REC}, s AS (SELECT "partition", "offset", sum(duration_ms) OVER (PARTITION BY "partition" ORDER BY "offset" ROWS UNBOUNDED PRECEDING) AS end_ms FROM rec),
+  l AS (SELECT *, "offset" < lag("offset") OVER (PARTITION BY "partition" ORDER BY end_ms, "offset") AS bad FROM s)
+  SELECT "partition", CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (bad) AS BIGINT) AS violations FROM l GROUP BY 1""")
 def fifo_violations_by_partition(spark, sf):
     return verify.order_violations(dispatch.schedule(_rec(spark, sf), Ordering.PARTITION), ["partition"], "offset", "end_ms")
 
 
-@query(f"""WITH {REC} SELECT CAST(count(*) AS BIGINT) AS produced, CAST(count(*) FILTER (kind <> 2) AS BIGINT) AS processed, CAST(count(*) FILTER (kind = 2) AS BIGINT) AS dead, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS unknown, CAST(0 AS BIGINT) AS "both" FROM rec""")
+@query(f"""WITH {ATT}, b AS (SELECT DISTINCT "offset" AS o FROM att WHERE decision IS NULL), c AS (SELECT DISTINCT "offset" AS o FROM att WHERE decision = 'exhausted'),
+  j AS (SELECT r."offset" AS a, b.o AS b, c.o AS c FROM rec r FULL JOIN b ON r."offset" = b.o FULL JOIN c ON coalesce(r."offset", b.o) = c.o)
+  SELECT CAST(count(a) AS BIGINT) AS produced, CAST(count(b) AS BIGINT) AS processed, CAST(count(c) AS BIGINT) AS dead,
+    CAST(count(*) FILTER (a IS NOT NULL AND b IS NULL AND c IS NULL) AS BIGINT) AS missing, CAST(count(*) FILTER (a IS NULL) AS BIGINT) AS unknown,
+    CAST(count(*) FILTER (b IS NOT NULL AND c IS NOT NULL) AS BIGINT) AS "both" FROM j""")
 def conservation_check(spark, sf):
     end = attempts.terminal_outcomes(_att(spark, sf), True)
     return verify.conservation(_rec(spark, sf), end.where("cause = 'handler'"), end.where("cause = 'dlq'"), ["topic", "partition", "offset"])
@@ -558,13 +567,14 @@ def dlq_exact_set(spark, sf):
     return attempts.terminal_outcomes(_att(spark, sf), True).where("cause = 'dlq'").select("offset")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS short")
+@query(f"""WITH {ATT}, t AS (SELECT "offset", count(*) AS tries FROM att GROUP BY 1)
+  SELECT CAST(count(*) AS BIGINT) AS short FROM att LEFT JOIN t USING ("offset") WHERE decision = 'exhausted' AND coalesce(tries, 0) < 3""")
 def attempt_budget(spark, sf):
     att = _att(spark, sf)
     return verify.attempt_budget(att, attempts.terminal_outcomes(att, True).where("cause = 'dlq'"), 2, ["topic", "partition", "offset"]).agg(F.count("*").alias("short"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS split_keys")
+@query(f'WITH {REC} SELECT CAST(count(*) AS BIGINT) AS split_keys FROM (SELECT topic, key FROM rec GROUP BY 1, 2 HAVING count(DISTINCT "partition") > 1)')
 def key_partition_affinity(spark, sf):
     return verify.key_affinity(_rec(spark, sf)).agg(F.count("*").alias("split_keys"))
 
@@ -622,6 +632,8 @@ def column_handler(spark, sf):
 
 def _streamed(spark: SparkSession, sf: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     target = tempfile.mkdtemp(prefix="ledger-stream-") if not base else f"{base}/ledger-stream-{abs(hash(sf))}-{spark.sparkContext.startTime}-{next(_counter)}"
     run_ledger(spark, f"{sf}/events.parquet*", target, POLICY, _fails())
     return target
