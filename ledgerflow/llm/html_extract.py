@@ -4,8 +4,8 @@ A page becomes a light DOM. Menus, headers, footers, sidebars, notices, adverts,
 styles go by element name, role or class words. Every node left has
 its characters per tag, adjusted for characters and tags in links; a node's sum is that of its children's densities. The subtree with
 the largest sum is the main text. The smallest density on its path to the body is the threshold: what
-stands beside the path joins if its density reaches it. Where the page names an article or main element with text, only
-nodes in there compete and that whole element is taken.
+stands beside the path joins if its density reaches it. Every node of a page competes. An article or main element is only a
+hint where the main text ends: if the subtree found lies in one, that whole element takes its place.
 """
 
 from __future__ import annotations
@@ -201,30 +201,27 @@ def extract(page: str | None) -> str:
     line = _measure(root)
     if not root.chars:
         return ""
-    inside = [x for x in line if x.chars and x.within(("article", "main"))]
-    pool = inside or line
-    best = max(reversed(pool), key=lambda x: x.total)
+    best = max((x for x in reversed(line) if x.chars), key=lambda x: x.total)
+    #: Only a hint where the main text ends: around the best node, never against it.
+    best = best.within(("article", "main")) or best
+    path, low = {id(best)}, best.density
+    up = best
+    while up.parent:
+        up = up.parent
+        path.add(id(up))
+        low = min(low, up.density)
     out: list[str] = []
-    if inside:
-        _render(best.within(("article", "main")), out)
-    else:
-        path, low = {id(best)}, best.density
-        up = best
-        while up.parent:
-            up = up.parent
-            path.add(id(up))
-            low = min(low, up.density)
-        stack: list[str | Node] = [root]
-        while stack:
-            x = stack.pop()
-            if isinstance(x, str):
-                out.append(x)
-            elif x is best or id(x) not in path:
-                if x is best or x.density >= low or x.tag not in BLOCK:
-                    _render(x, out)
-            else:
-                out.append("\n")
-                stack.extend(reversed([*x.items, "\n"]))
+    stack: list[str | Node] = [root]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif x is best or id(x) not in path:
+            if x is best or x.density >= low or x.tag not in BLOCK:
+                _render(x, out)
+        else:
+            out.append("\n")
+            stack.extend(reversed([*x.items, "\n"]))
     return " ".join(html.unescape("".join(out)).split())
 
 
