@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from ledgerflow.llm.common import by_bytes, small_batches
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>|[^>]*>)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: One attribute with its value, so that no name is looked for inside a value or another name.
+_ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORDS = re.compile(r"[a-z0-9]+")
 #: Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,14 +39,18 @@ DROP_ROLES = frozenset("navigation banner contentinfo complementary search form
 DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adbox adslot adsense sponsor sponsored promo promotion banner sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments disqus reply replies widget widgets toolbar login search pagination pager skip".split()
 )
+#: Any other element closes an open head.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 KEPT_CUES = frozenset("html body article main".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "dropped", "items", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent = tag, parent
+        #: In an unwanted element: open like any other, but not in its parent's items.
+        self.dropped = False
         #: Texts and nodes in page order.
         self.items: list[str | Node] = []
 
@@ -81,41 +86,42 @@ def parse(page: str) -> Node:
     """The page's tree without what never belongs to the main text."""
     root = node = Node("html", None)
     at, n = 0, len(page)
-    #: Name of the unwanted element that is being skipped, and how many of that name are open.
-    skip, depth = "", 0
+
+    def text(part: str) -> None:
+        nonlocal node
+        if node.tag == "head" and part.strip():
+            node = node.parent
+        if not node.dropped:
+            node.items.append(part)
+
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
-        if m.start() > at and not skip:
-            node.items.append(page[at : m.start()])
+        if m.start() > at:
+            text(page[at : m.start()])
         at = m.end()
         if m[2] is None:
-            if m[0].startswith("<![CDATA[") and not skip:
-                node.items.append(html.escape(m[0][9:-3]))
+            if m[0].startswith("<![CDATA["):
+                text(html.escape(m[0][9:-3]))
             continue
         tag, closing = m[2].lower(), bool(m[1])
         if tag in RAW and not closing:
             end = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        if skip:
-            if tag == skip and tag not in VOID:
-                depth += -1 if closing else 1
-                if not depth:
-                    skip = ""
-            elif closing and tag in ("body", "html") or skip == "head" and tag == "body":
-                skip, depth = "", 0
-            if skip or tag == "body" and not closing:
-                continue
-            if closing:
-                continue
         if closing:
+            if tag in ("body", "html"):
+                while node.dropped:
+                    node = node.parent
+                continue
             up = node
             while up.parent and up.tag != tag:
                 up = up.parent
             if up.parent:
                 node = up.parent
             continue
+        if node.tag == "head" and tag not in HEAD:
+            node = node.parent
         if tag in ("html", "body"):
             continue
         if tag in BLOCK:
@@ -131,16 +137,15 @@ def parse(page: str) -> Node:
                 up = up.parent
             if up.tag in names and up.parent:
                 node = up.parent
-        if _unwanted(tag, m[3][:-1], node):
-            if tag not in VOID and not m[3].endswith("/>"):
-                skip, depth = tag, 1
-            continue
+        dropped = node.dropped or _unwanted(tag, m[3][:-1], node)
         new = Node(tag, node)
-        node.items.append(new)
-        if tag not in VOID and not (m[3].endswith("/>") and tag not in BLOCK):
+        new.dropped = dropped
+        if not dropped:
+            node.items.append(new)
+        if tag not in VOID and not (m[3].endswith("/>") and (dropped or tag not in BLOCK)):
             node = new
-    if at < n and not skip:
-        node.items.append(page[at:])
+    if at < n:
+        text(page[at:])
     return root
 
 

@@ -1,5 +1,7 @@
 """Rows, texts and markup that an operator once passed over."""
 
+import pytest
+
 from ledgerflow.llm import html_extract
 
 BODY = "".join(f"<p>Paragraph {i} of the real text, which runs on for a good while and says something at length.</p>" for i in range(6))
@@ -16,3 +18,22 @@ def test_html_sibling_articles():
     posts = "".join(f"<article><h2>Post {i}</h2><p>Post number {i} tells its whole story here, {'with more and more words ' * (i + 1)}to the end.</p><p>And a second paragraph {i}.</p></article>" for i in range(3))
     got = html_extract.extract(f"<body><nav><a href=/>home</a></nav><div>{posts}</div><footer>foot</footer></body>")
     assert all(f"number {i} tells" in got and f"second paragraph {i}." in got for i in range(3)) and "home" not in got and "foot" not in got
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<body><p class="ad">buy<p>First text.<p>Second text.', "First text. Second text."),
+        ('<body><div><p class="notice">buy</div><p>First text.</p><p>Second text.</p>', "First text. Second text."),
+        ('<body><ul><li class="promo">buy<li>First text.<li>Second text.</ul>', "First text. Second text."),
+        ("<head><title>t</title><meta name=a><p>First text.<p>Second text.", "First text. Second text."),
+        ('<body><div class="ad"><div>buy</div><p>this<p>now</div><p>First text.<p>Second text.', "First text. Second text."),
+        ('<body><p>See <a href="/hidden-falls">the falls</a> today.</p>', "See the falls today."),
+        ('<body><p title="hidden treasures">First text.</p>', "First text."),
+        ('<body><p data-hidden="false" data-class="ad">First text.</p>', "First text."),
+        ('<body><p>See <a href="?grid=menu">the grid</a> and <a href=?id=menu>more</a>.</p>', "See the grid and more."),
+        ('<body><p hidden>not this</p><p HIDDEN=hidden>nor this</p><p aria-hidden="true">nor</p><p style="display: none">nor</p><p>First text.</p>', "First text."),
+    ],
+)
+def test_html_skips_only_the_unwanted_element(page, want):
+    assert html_extract.extract(page) == want
