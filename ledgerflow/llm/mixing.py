@@ -51,9 +51,9 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
 
 def mix_sources(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: str = "mix"
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: str = "mix", keep_row: bool = False
 ) -> DataFrame:
-    """One row per document: id, source, size (words), source_size, target, copies, taken (size * copies).
+    """One row per document: id, source, size (words), source_size, target, copies, taken (size * copies), and row (all columns of ``docs``) if ``keep_row``.
 
     ``weight_col`` (0 or more; null: 0) makes documents of a source unequally likely; without it all are equal.
     No document is taken more than ``most`` times. A null text has size 0, a null source is a source of its own. Equal ranks go by id; rows that repeat
@@ -62,7 +62,8 @@ def mix_sources(
     """
     work = Workspace(docs.sparkSession, "mix-sources")
     own = F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)) if weight_col else F.lit(1.0)
-    sized = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), own.alias("own"))
+    whole = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] * keep_row
+    sized = docs.select(*whole, F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), own.alias("own"))
     sized = work.save(sized, "sizes")
     targets = work.save(source_targets(sized, weights, most), "targets")
     if weight_col:
@@ -83,10 +84,12 @@ def mix_sources(
     cells = cells.withColumn("rest", F.col("target") - F.sum("sure").over(in_source)).where("cell is not null").withColumn("through", F.sum("words").over(upto))
     edge = cells.where("through > rest").groupBy("source").agg(F.min(F.struct("cell", (F.col("through") - F.col("words")).alias("done"))).alias("e"), F.first("rest").alias("rest"))
     edge = edge.select(F.col("source").alias("of"), F.col("e.cell").alias("at"), F.col("e.done").alias("done"), "rest")
+    if keep_row:  # one row per source; whole rows aren't shuffled by source
+        edge = F.broadcast(edge)
     rows = rows.join(edge, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     #: A cell before the edge is taken whole, one behind it not at all; no edge: all are.
     plain = rows.where("at is null or cell is null or cell <> at").withColumn("picked", F.coalesce((F.col("cell") < F.col("at")) | (F.col("cell").isNotNull() & F.col("at").isNull()), F.lit(False)))
     line = Window.partitionBy("source").orderBy("odds", "id").rowsBetween(Window.unboundedPreceding, 0)
     close = rows.where("cell = at").withColumn("sum", F.col("done") + F.sum("size").over(line)).withColumn("picked", F.col("sum") - F.col("size") / 2 <= F.col("rest")).drop("sum")
     both = plain.unionByName(close).withColumn("copies", F.col("base") + F.col("picked").cast("long"))
-    return both.select("id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return both.select("id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *["row"] * keep_row)

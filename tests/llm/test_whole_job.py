@@ -1,7 +1,10 @@
 """Rows, texts and markup that an operator once passed over."""
 
+import collections
+
 import pytest
 
+import corpus_pipeline
 from ledgerflow.llm import html_extract
 
 BODY = "".join(f"<p>Paragraph {i} of the real text, which runs on for a good while and says something at length.</p>" for i in range(6))
@@ -37,3 +40,49 @@ def test_html_sibling_articles():
 )
 def test_html_skips_only_the_unwanted_element(page, want):
     assert html_extract.extract(page) == want
+
+
+#: Null ids, repeated rows, and a repeated id with two texts of which 3 holds one.
+ROWS = [(None, "only a null id has this text"), (None, "shared text here"), (1, "shared text here"), (3, "text of number three"), (5, "text of number three"), (5, "five has another text"), (7, "seven comes twice"), (7, "seven comes twice")]
+
+
+def corpus(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def pairs(df):
+    return collections.Counter((r.doc_id, r.text) for r in df.collect())
+
+
+def test_pipeline_quality_stage_scores_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = pairs(corpus_pipeline.quality_stage(spark, docs, sf))
+    (_, text), *_ = good
+    more = pairs(corpus_pipeline.quality_stage(spark, docs.unionByName(corpus(spark, [(None, text)] * 2)), sf))
+    assert more == good + collections.Counter({(None, text): 2})
+
+
+def test_pipeline_exact_stage_decides_rows(spark):
+    got = pairs(corpus_pipeline.exact_stage(spark, corpus(spark, ROWS), ""))
+    assert got == collections.Counter([ROWS[0], ROWS[2], ROWS[3], ROWS[5], ROWS[6], ROWS[7]])
+
+
+def test_pipeline_near_stage_keeps_null_ids_and_repeated_rows(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(None, "a null id with its own words"), (None, "a null id with its own words"), (2, " ".join(words)), (4, " ".join([*words[:-1], "x"])), (7, "seven comes twice in here"), (7, "seven comes twice in here")]
+    assert pairs(corpus_pipeline.near_stage(spark, corpus(spark, rows), "")) == collections.Counter([r for r in rows if r[0] != 4])
+
+
+def test_pipeline_mix_stage_copies_rows(spark):
+    rows = [(None, f"null number {i}") for i in range(5)] + [(7, "seven comes many times")] * 4 + [(8, "eight one"), (8, "eight has more words than one")] + [(i, f"text {i}") for i in range(10, 30)]
+    docs = corpus(spark, rows)
+    got = corpus_pipeline.mix_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    #: One source has all the weight, so its target is its size and every row is taken once.
+    assert pairs(got) == collections.Counter(rows)
+
+
+def test_pipeline_encode_stage_takes_every_row(spark):
+    out = corpus_pipeline.encode_stage(spark, corpus(spark, ROWS), "").collect()
+    assert collections.Counter(r.doc_id for r in out) == collections.Counter(i for i, _ in ROWS) and all(r.ids for r in out)
