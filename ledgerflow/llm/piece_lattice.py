@@ -1,9 +1,9 @@
 """Sampled SentencePiece segmentations by forward filtering and backward sampling over the piece lattice.
 
-A text is a sequence of units: a word with the space before it. No piece of the vocabulary crosses into a next unit, so
-a unit's lattice stands alone: ``forward[e]`` sums the weights of all its segmentations up to character e, and a
+A text is a sequence of units: a word with the run of spaces before it. No piece crosses into a next unit (a vocabulary
+with a space behind another character is refused), so a unit's lattice stands alone: ``forward[e]`` sums the weights of all its segmentations up to character e, and a
 segmentation is drawn from the end backwards, each piece with its share of ``forward``. A piece weighs
-exp(alpha * score). Characters outside the vocabulary (and a literal U+2581) become byte pieces.
+exp(alpha * score); a piece whose weight is zero in double precision is never drawn. Characters outside the vocabulary (and a literal U+2581) become byte pieces.
 
 The draws come from a counter hashed with the row key, not from a generator's state, so a row's pieces are the same in
 any partitioning, batch or rerun. Decoding joins the pieces and gives back the exact text.
@@ -11,6 +11,7 @@ any partitioning, batch or rerun. Decoding joins the pieces and gives back the e
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +24,9 @@ from pyspark.sql import functions as F
 from ledgerflow.llm.common import by_bytes, mix, small_batches
 
 _SPACE = 0x2581
+#: A space behind a unit's first; there U+2581 is a literal one.
+_GAP = 0x20
+_UNIT = re.compile(" +[^ ]*")
 #: Units of up to so many characters are filtered together as arrays; longer ones one by one.
 SHORT = 40
 #: Units of one length that are filtered at once.
@@ -50,7 +54,9 @@ class PieceLattice:
             if sp.is_byte(i):
                 self.bytes[int(piece[1:-1], 16)] = i
                 self.raw[i] = bytes([int(piece[1:-1], 16)])
-            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and "▁" not in piece[1:]:
+            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
+                if "▁" in piece.lstrip("▁"):
+                    raise ValueError(f"the piece {piece!r} crosses into a next unit")
                 plain[piece] = i
                 self.raw[i] = piece.replace("▁", " ").encode()
         if (self.bytes < 0).any():
@@ -97,6 +103,9 @@ class PieceLattice:
     def _filter(self, chars: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """(forward sums, ids of the pieces of each length by where they end) for units of one length."""
         n, length = chars.shape
+        lead = chars == _SPACE
+        lead[:, 0] = False
+        chars = np.where(chars == _GAP, np.uint64(_SPACE), chars)
         ends: list[np.ndarray] = []
         h = np.full((n, length), _HASH)
         for size in range(1, min(length, self.longest) + 1):
@@ -105,8 +114,6 @@ class PieceLattice:
             ids = np.full((n, length + 1), -1, np.int32)
             ids[:, size:] = self._find(np.ascontiguousarray(h).ravel()).reshape(h.shape)
             ends.append(ids)
-        lead = chars == _SPACE
-        lead[:, 0] = False
         weights = [self.weight[ids] for ids in ends]
         weights[0][:, 1:][ends[0][:, 1:] < 0] = self.unknown
         if lead.any():  # a literal U+2581 is no space
@@ -169,7 +176,7 @@ class PieceLattice:
         counts = np.zeros(len(texts), np.int64)
         for t, text in enumerate(texts):
             if text:
-                parts = text.split(" ")
+                parts = [u[1:] for u in _UNIT.findall(" " + text)] if text[0] == " " or "  " in text else text.split(" ")
                 index.extend([units.setdefault(p, len(units)) for p in parts])
                 counts[t] = len(parts)
         which = np.array(index, np.int64)
@@ -209,7 +216,7 @@ class PieceLattice:
             options, total = [], 0.0
             for k in range(1, min(e, longest) + 1):
                 part = unit[e - k : e]
-                i = None if "▁" in part[1:] or (e - k and part[0] == "▁") else find(part)
+                i = None if "▁" in unit[max(e - k, 1) : e] else find(part.replace(" ", "▁"))
                 w = weight[i] if i is not None else self.unknown if k == 1 else 0.0
                 if w:
                     share = w * forward[e - k] * np.exp(scale[e - k] - scale[e - 1])

@@ -2,10 +2,12 @@
 
 import collections
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from ledgerflow.llm import html_extract
+from ledgerflow.llm import html_extract, piece_lattice
+from ledgerflow.llm.queries import tokenizer_path
 
 BODY = "".join(f"<p>Paragraph {i} of the real text, which runs on for a good while and says something at length.</p>" for i in range(6))
 TEASERS = "".join(f"<article><a href=/{i}><h3>Teaser {i}</h3></a></article>" for i in range(4))
@@ -86,3 +88,32 @@ def test_pipeline_mix_stage_copies_rows(spark):
 def test_pipeline_encode_stage_takes_every_row(spark):
     out = corpus_pipeline.encode_stage(spark, corpus(spark, ROWS), "").collect()
     assert collections.Counter(r.doc_id for r in out) == collections.Counter(i for i, _ in ROWS) and all(r.ids for r in out)
+
+
+def test_pieces_of_several_spaces_are_in_the_lattice():
+    #: At alpha 0 all pieces weigh the same, so all segmentations of a unit are equally likely.
+    lattice = piece_lattice.PieceLattice(tokenizer_path("piece_bpe_32k.model"), alpha=0.0)
+    want = set()
+
+    def walk(rest, ids):
+        if not rest:
+            want.add(tuple(ids))
+        for k in range(1, len(rest) + 1):
+            i = lattice.plain.get(rest[:k])
+            if i is not None:
+                walk(rest[k:], [*ids, i])
+
+    walk("▁▁▁▁to", [])
+    assert any(lattice.raw[i] == b"    " for ids in want for i in ids)
+    n = 300 * len(want)
+    flat, edge = lattice.sample(["   to"] * n, np.arange(n))
+    seen = collections.Counter(tuple(flat[a:b].tolist()) for a, b in zip(edge[:-1], edge[1:]))
+    assert set(seen) == want and all(abs(x - 300) < 120 for x in seen.values())
+    slow = set()
+    for k in piece_lattice.mix(np.arange(n).astype(np.uint64)):
+        out = np.full(6, -1, np.int64)
+        lattice._long("▁   to", k, 0, 0, out)
+        slow.add(tuple(out[out >= 0].tolist()))
+    assert slow == want
+    for text in ("  ", " a", "a  b", "a   ", "a \u2581  \u2581\u2581 b", "x" * 50 + " " * 60 + "y"):
+        assert lattice.decode(lattice.sample([text], np.arange(1))[0].tolist()) == text
