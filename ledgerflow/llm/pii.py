@@ -25,10 +25,10 @@ _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 BASE_KINDS = ("email", "ip", "card", "phone")
-#: Kinds that the cues add.
+#: Kinds that the cues add. Accounts end at the word's boundary and secrets at a space or quote, however far that is.
 _URL_TAIL = re.compile(r"[A-Za-z0-9._~%:/?#\[\]@!$&'()*+,;=-]+")
-_ACCOUNT = re.compile(r"\s{0,3}(?:no\.?|nr\.?|number|id)?\s{0,3}[:=#]\s{0,3}([A-Za-z]{0,4}[0-9][A-Za-z0-9-]{4,33})")
-_SECRET = re.compile(r"\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{6,128})")
+_ACCOUNT = re.compile(r"\s{0,3}(?:no\.?|nr\.?|number|id)?\s{0,3}[:=#]\s{0,3}([A-Za-z]{0,4}[0-9][\w-]{4,})")
+_SECRET = re.compile(r"\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{6,})")
 _CLOUD_KEY = re.compile(r"[0-9A-Z]{16}")
 _SCHEMES = ("http://", "https://", "ftp://")
 _ACCOUNT_CUES = ("account", "acct", "iban", "passport", "ssn", "konto", "cuenta", "compte")

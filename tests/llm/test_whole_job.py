@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from ledgerflow.llm import html_extract, piece_lattice
+from ledgerflow.llm import exact_dedup, html_extract, pii, piece_lattice
 from ledgerflow.llm.queries import tokenizer_path
 
 BODY = "".join(f"<p>Paragraph {i} of the real text, which runs on for a good while and says something at length.</p>" for i in range(6))
@@ -117,3 +117,11 @@ def test_pieces_of_several_spaces_are_in_the_lattice():
     assert slow == want
     for text in ("  ", " a", "a  b", "a   ", "a \u2581  \u2581\u2581 b", "x" * 50 + " " * 60 + "y"):
         assert lattice.decode(lattice.sample([text], np.arange(1))[0].tolist()) == text
+
+
+def test_pii_spans_reach_the_closing_boundary():
+    found = pii._automaton()
+    for cue, value in (("token=", "eyJ" + "aB3_-." * 200), ('secret: "', "s" * 129), ("iban: ", "DE" + "1234567890" * 6), ("account no: ", "12345678é9"), ("acct=", "A1234567_89")):
+        text = f'see {cue}{value}" and more'
+        at = text.index(value)
+        assert [s for s in pii.find_spans(text, found) if s[0] in ("account", "secret")] == [("account" if cue[0] in "ia" else "secret", at, at + len(value))]
