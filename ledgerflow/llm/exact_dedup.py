@@ -1,7 +1,7 @@
 """Exact deduplication against a persistent digest index, with DataFrame functions only.
 
 The index is a Parquet table of (text_sha256, keep_id, group_size), bucketed and sorted by digest. A batch of
-documents is reduced to one row per digest, deduplicated against the index by a sort-merge anti-join and
+documents is reduced to one row per digest, deduplicated against the index by a sort-merge anti-join, whether the index holds rows or not, and
 appended. Digests that hold at least one row in a thousand of a batch (so at most
 1,000 of them) are joined back by broadcast, so a group of a third of all rows never meets in one task.
 """
@@ -32,9 +32,6 @@ class DigestIndex:
         self.spark, self.path = spark, path
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = f"digest_index_{uuid.uuid4().hex}"
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self.empty = not fs.exists(target)
         spark.sql(f"CREATE TABLE {self.name} (text_sha256 STRING, keep_id BIGINT, group_size BIGINT) USING parquet CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {self.buckets} BUCKETS LOCATION '{path}'")
 
     def table(self) -> DataFrame:
@@ -43,12 +40,11 @@ class DigestIndex:
     def add(self, digests: DataFrame) -> None:
         """Append the digests of a batch (id, text_sha256) that the index doesn't hold yet."""
         fresh = digests.groupBy("text_sha256").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
-        if not self.empty:
-            fresh = fresh.join(self.table().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
+        self.spark.catalog.refreshTable(self.name)
+        fresh = fresh.join(self.table().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
         fresh = fresh.repartition(self.buckets, "text_sha256")
         fresh.write.mode("append").format("parquet").bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").saveAsTable(self.name)
         self.spark.catalog.refreshTable(self.name)
-        self.empty = False
 
     def close(self) -> None:
         """Forget the table's name; its files stay."""

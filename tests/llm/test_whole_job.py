@@ -125,3 +125,12 @@ def test_pii_spans_reach_the_closing_boundary():
         text = f'see {cue}{value}" and more'
         at = text.index(value)
         assert [s for s in pii.find_spans(text, found) if s[0] in ("account", "secret")] == [("account" if cue[0] in "ia" else "secret", at, at + len(value))]
+
+
+def test_exact_dedup_meets_the_index_by_anti_join_always(spark):
+    first = exact_dedup.fresh_index(spark)
+    second = exact_dedup.DigestIndex(spark, first.path, first.buckets)
+    docs = corpus(spark, [(1, "one"), (2, "two"), (3, "two")])
+    assert exact_dedup.exact_duplicates(docs, first).count() == 3
+    #: Opened while the index was empty, filled since.
+    assert exact_dedup.exact_duplicates(docs, second).count() == 3 and second.table().count() == 2
