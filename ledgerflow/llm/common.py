@@ -17,9 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch handed to Python. Texts average a few KB and some are long.
-ARROW_ROWS = 1000
-#: UTF-8 bytes that one step of a Python operator works on, long single texts aside.
+#: UTF-8 bytes that one step of a Python operator works on, long single texts aside. Spark itself ends an Arrow batch at 64 MB.
 CHUNK_BYTES = 2 << 20
 
 _local_dirs: dict[str, str] = {}
@@ -73,9 +71,26 @@ class Workspace:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers get, unless the session already has."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Spark bounds Arrow batches by bytes itself."""
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's bytes, from file sizes; nothing is read. 0 where it has none (rows from the driver)."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as the cluster has cores.
+
+    Only a plan of plain scans is looked at (its partitions follow from file sizes, nothing runs). Large inputs have more
+    partitions than cores and pass untouched; a small file of one row group would otherwise be one task of a costly Python step.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString() or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

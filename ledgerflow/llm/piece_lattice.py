@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import by_bytes, mix, small_batches
+from ledgerflow.llm.common import by_bytes, mix, spread
 
 _SPACE = 0x2581
 #: A space behind a unit's first; there U+2581 is a literal one.
@@ -265,7 +265,6 @@ def sample_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     Rows with the same id and text get the same segmentation; a null id counts as 0. Whole texts are
     encoded, other columns are ignored, an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = None
@@ -279,7 +278,7 @@ def sample_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "text"][: len(columns)])
 
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return read.mapInArrow(run, "id long, ids array<int>" + ", text string" * keep_text)
+    return spread(read).mapInArrow(run, "id long, ids array<int>" + ", text string" * keep_text)
 
 
 def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from ledgerflow.llm.common import by_bytes, id_text, small_batches
+from ledgerflow.llm.common import by_bytes, id_text, spread
 
 #: Segments a worker remembers before it starts anew.
 REMEMBERED = 400_000
@@ -63,7 +63,6 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     Null and empty texts have 0 of both. Whole texts are counted, however long. Repeated rows and ids are counted
     row by row, other columns are ignored, an empty table gives an empty result, a null id stays null.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = None
@@ -74,4 +73,4 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                 n = counter.count(texts.to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pc.binary_length(texts).cast(pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], names=["id", "n_bytes", "n_tokens", "over_limit"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "id long, n_bytes long, n_tokens long, over_limit boolean")
+    return spread(id_text(docs, id_col, text_col)).mapInArrow(run, "id long, n_bytes long, n_tokens long, over_limit boolean")
