@@ -1,11 +1,10 @@
 """Main text of web pages by composite text density.
 
 A page becomes a light DOM. Menus, headers, footers, sidebars, notices, adverts, forms, comments of readers, scripts and
-styles go by element name, role or class words. Every node left has
+styles go by element name, role or class names. Every node left has
 its characters per tag, adjusted for characters and tags in links; a node's sum is that of its children's densities. The subtree with
 the largest sum is the main text. The smallest density on its path to the body is the threshold: what
-stands beside the path joins if its density reaches it. Every node of a page competes. An article or main element is only a
-hint where the main text ends: if the subtree found lies in one, that whole element takes its place.
+stands beside the path joins if its density reaches it. Every block of a page competes; article and main elements are blocks like any other.
 """
 
 from __future__ import annotations
@@ -19,15 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import by_bytes, small_batches
+from ledgerflow.llm.common import by_bytes, spread
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>|[^>]*>)", re.S)
 #: One attribute with its value, so that no name is looked for inside a value or another name.
 _ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_WORDS = re.compile(r"[a-z0-9]+")
+#: The words of a class name or id: main-nav, main_nav and mainNav are main and nav.
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 #: Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
+RAW = frozenset("script style textarea title iframe noembed noframes noscript template".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -39,47 +39,55 @@ DROP_ROLES = frozenset("navigation banner contentinfo complementary search form
 DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adbox adslot adsense sponsor sponsored promo promotion banner sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments disqus reply replies widget widgets toolbar login search pagination pager skip".split()
 )
+#: Words that may stand beside those of DROP_WORDS in one name. Any other word (has-sidebar, no-ads, social-contract) says that the name isn't about what the element is.
+BESIDE = frozenset(
+    "a area bar block body bottom box btn button buttons card cell center col column container content feed fixed first form global group header heading holder icon icons inline inner item items js last left link links list main module of outer page panel post posts primary region right row secondary section single site slot small stack sticky tab tabs text title to top unit us view web wide wrap wrapper".split()
+)
 #: Any other element closes an open head.
 HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 KEPT_CUES = frozenset("html body article main".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "dropped", "items", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "dropped", "outer", "items", "below", "count", "own", "density", "total")
+    #: ``count`` and ``own``: characters, tags, and those in links, of all below and of the text outside the blocks below.
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent = tag, parent
         #: In an unwanted element: open like any other, but not in its parent's items.
         self.dropped = False
+        #: The outermost article or main around this node, itself included: a header in there is the article's own.
+        self.outer: Node | None = parent.outer if parent and parent.outer else self if tag in ("article", "main") else None
         #: Texts and nodes in page order.
         self.items: list[str | Node] = []
 
-    def within(self, names: tuple[str, ...]) -> Node | None:
-        """The outermost element of these names around this node, itself included."""
-        node, found = self, None
-        while node:
-            if node.tag in names:
-                found = node
-            node = node.parent
-        return found
+
+def _names_unwanted(value: str) -> bool:
+    """Whether one of the names in a class or id attribute says that its element is no main text."""
+    for name in value.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        if not DROP_WORDS.isdisjoint(words) and all(w in DROP_WORDS or w in BESIDE or w.isdigit() for w in words):
+            return True
+    return False
 
 
 def _unwanted(tag: str, attributes: str, parent: Node) -> bool:
     if tag in DROP:
         return True
     if len(attributes) < 4 or tag in KEPT_CUES:
-        return tag == "header" and not parent.within(("article", "main"))
+        return tag == "header" and not parent.outer
     for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        name, whole = m[1].lower(), m[2] or m[3] or m[4] or ""
+        value = whole.lower()
         if name in ("class", "id"):
-            if not DROP_WORDS.isdisjoint(_WORDS.findall(value)):
+            if _names_unwanted(whole):
                 return True
         elif name == "role":
             if value.strip() in DROP_ROLES:
                 return True
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return True
-    return tag == "header" and not parent.within(("article", "main"))
+    return tag == "header" and not parent.outer
 
 
 def parse(page: str) -> Node:
@@ -149,8 +157,21 @@ def parse(page: str) -> Node:
     return root
 
 
+def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Characters per tag, adjusted for characters and tags in links; ``share`` is that of link characters in the whole page."""
+    if not chars:
+        return 0.0
+    tags = max(tags, 1)
+    base = math.log(chars / max(chars - link_chars, 1) * link_chars + share * chars + math.e)
+    return chars / tags * math.log(chars / max(link_chars, 1) * tags / max(link_tags, 1) + 1e-9) / math.log(base + 1e-9) if base > 1 + 1e-6 else chars / tags
+
+
 def _measure(root: Node) -> list[Node]:
-    """Densities of all nodes, children before parents."""
+    """Densities and density sums of all nodes, children before parents.
+
+    A sum takes the blocks right below a node, through elements that are no blocks, and the text that stands between them as one
+    child more. So a paragraph's bold words are part of it and never outweigh the paragraphs around them.
+    """
     line, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -158,27 +179,33 @@ def _measure(root: Node) -> list[Node]:
         stack.extend(x for x in node.items if isinstance(x, Node))
     line.reverse()
     for node in line:
-        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        count, own = [0, 0, 0, 0], [0, 0, 0, 0]
+        node.below = []
         for x in node.items:
             if isinstance(x, str):
-                node.chars += len("".join(x.split()))
+                n = len("".join(x.split()))
+                count[0] += n
+                own[0] += n
+                continue
+            for k, n in enumerate(x.count):
+                count[k] += n
+            count[1] += 1
+            if x.tag in BLOCK:
+                node.below.append(x)
             else:
-                node.chars += x.chars
-                node.tags += x.tags + 1
-                node.link_chars += x.link_chars
-                node.link_tags += x.link_tags
+                node.below += x.below
+                for k, n in enumerate(x.own):
+                    own[k] += n
+                own[1] += 1
         if node.tag == "a":
-            node.link_chars, node.link_tags = node.chars, node.tags + 1
-    share = root.link_chars / root.chars if root.chars else 0.0
+            count[2:] = count[0], count[1] + 1
+            own[2:] = own[0], own[1] + 1
+        node.count, node.own = count, own
+    share = root.count[2] / root.count[0] if root.count[0] else 0.0
     for node in line:
-        c, t = node.chars, max(node.tags, 1)
-        lc, lt = node.link_chars, node.link_tags
-        if not c:
-            node.density = 0.0
-        else:
-            base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
-            node.density = c / t * math.log(c / max(lc, 1) * t / max(lt, 1) + 1e-9) / math.log(base + 1e-9) if base > 1 + 1e-6 else c / t
-        node.total = sum(x.density for x in node.items if isinstance(x, Node)) or node.density
+        node.density = composite_density(*node.count, share)
+        node.total = sum(x.density for x in node.below) + composite_density(*node.own, share) if node.below else node.density
+        node.below = []
     return line
 
 
@@ -204,11 +231,9 @@ def extract(page: str | None) -> str:
         return ""
     root = parse(page)
     line = _measure(root)
-    if not root.chars:
+    if not root.count[0]:
         return ""
-    best = max((x for x in reversed(line) if x.chars), key=lambda x: x.total)
-    #: Only a hint where the main text ends: around the best node, never against it.
-    best = best.within(("article", "main")) or best
+    best = max((x for x in reversed(line) if x.count[0] and (x.tag in BLOCK or x is root)), key=lambda x: x.total)
     path, low = {id(best)}, best.density
     up = best
     while up.parent:
@@ -236,7 +261,6 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     Null and empty html give an empty text. Whole pages are read, broken markup included. Repeated rows are extracted row by
     row, other columns are ignored, an empty table gives an empty result.
     """
-    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -245,4 +269,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
     read = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    return read.mapInArrow(run, "id long, url string, text string, n_chars long")
+    return spread(read).mapInArrow(run, "id long, url string, text string, n_chars long")
