@@ -1,6 +1,7 @@
 """Quality scores by Bradley-Terry pairwise ranking.
 
-A document is a short vector of features of its whole text. Training draws pairs of a better and a worse labelled document and fits weights by the
+A document is a vector of features of its whole text: twelve ratios of characters, words and repeats, and the shares of its words and word pairs by
+hash bucket. Training draws pairs of a better and a worse labelled document and fits weights by the
 logistic loss on the difference of their features, so that the better one of a pair gets the larger score. The cut between
 good and bad is a quantile of the training scores: the share of bad labels.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from ledgerflow.llm.common import by_bytes, id_text, small_batches, string_buffer
+from ledgerflow.llm.common import by_bytes, id_text, mix, spread, string_buffer
 from ledgerflow.llm.ngram_join import word_hashes
 
 #: Labelled rows that training uses at most (of all tasks together, chosen by a hash of the id), and pairs drawn from them.
@@ -33,7 +34,10 @@ _KIND[[ord(c) for c in "!?"]] = 5
 _KIND[[ord(c) for c in ".,;:"]] = 6
 _KIND[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = 7
 _KIND[0x80:] = 8
-N_FEATURES = 12
+#: Buckets that words, and pairs of words, are hashed to (a power of two), and all features.
+BUCKETS = 64
+N_FEATURES = 12 + 2 * BUCKETS
+_SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
 
 
 def features(column: pa.Array) -> np.ndarray:
@@ -60,7 +64,7 @@ def features(column: pa.Array) -> np.ndarray:
     distinct = np.bincount(o[fresh], minlength=n)
     letters = np.maximum(counts[1] + counts[2] + counts[8] / 2, 1)
     root = lambda x: np.sqrt(np.minimum(x, 1))
-    return np.stack(
+    flat = np.stack(
         [
             np.minimum(np.log1p(n_words) / 10, 1.5),
             counts[1] / letters,
@@ -77,15 +81,23 @@ def features(column: pa.Array) -> np.ndarray:
         ],
         axis=1,
     )
+    pairs, inside = mix(words[:-1] ^ mix(words[1:])), of[1:] == of[:-1]
+    hashed = [np.bincount(o * BUCKETS + (h >> _SHIFT).astype(np.int64), minlength=n * BUCKETS).reshape(n, BUCKETS) for h, o in ((words, of), (pairs[inside], of[1:][inside]))]
+    return np.concatenate([flat, *(root(h / some[:, None]) for h in hashed)], axis=1)
+
+
+def draw_pairs(good: np.ndarray, pairs: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(better rows, worse rows) of the training pairs."""
+    rng = np.random.default_rng(seed)
+    return rng.choice(np.flatnonzero(good), pairs), rng.choice(np.flatnonzero(~good), pairs)
 
 
 def fit_pairs(x: np.ndarray, good: np.ndarray, pairs: int = TRAIN_PAIRS, ridge: float = 1e-3, seed: int = 7) -> tuple[np.ndarray, float]:
     """(weights, cut): Newton's method on the Bradley-Terry loss of drawn pairs; without both labels the weights are 0."""
-    up, down = np.flatnonzero(good), np.flatnonzero(~good)
-    if not len(up) or not len(down):
+    if not good.any() or good.all():
         return np.zeros(x.shape[1]), 0.0
-    rng = np.random.default_rng(seed)
-    d = x[rng.choice(up, pairs)] - x[rng.choice(down, pairs)]
+    up, down = draw_pairs(good, pairs, seed)
+    d = x[up] - x[down]
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(np.clip(d @ w, -35, 35)))
@@ -113,9 +125,9 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
     """Fit on at most ``rows`` labelled documents that aren't held out. Only their features (``N_FEATURES`` numbers a row) reach the driver.
 
-    Null labels and ids are ignored; an id with several labels counts as bad if any is.
+    Null labels and ids are ignored; an id with several labels counts as bad if any is, and of rows that repeat an id one counts, so the bound
+    holds for them too.
     """
-    small_batches(docs.sparkSession)
     own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).cast("long").alias("id"), (F.col(label_col) >= 1).alias("good"))
     own = own.groupBy("id").agg(F.min("good").alias("good")).orderBy(F.xxhash64("id"), "id").limit(rows)
 
@@ -123,13 +135,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for whole in batches:
             for batch in by_bytes(whole):
                 x = features(batch.column("text"))
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, N_FEATURES, dtype=np.int32)), pa.array(x.ravel()))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, N_FEATURES, dtype=np.int32)), pa.array(x.astype(np.float32).ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("good"), flat], names=["id", "good", "x"])
 
     #: At most ``rows`` rows are broadcast.
     known = id_text(docs, id_col, text_col).join(F.broadcast(own), "id").select("id", "text", "good")
-    table = known.mapInArrow(run, "id long, good boolean, x array<double>").toArrow().sort_by("id")
-    x = np.array(table.column("x").to_pylist(), float).reshape(-1, N_FEATURES)
+    table = known.mapInArrow(run, "id long, good boolean, x array<float>").groupBy("id").agg(F.first("good").alias("good"), F.min("x").alias("x")).toArrow().sort_by("id")
+    x = table.column("x").combine_chunks().flatten().to_numpy().astype(float).reshape(-1, N_FEATURES)
     return fit_pairs(x, table.column("good").to_numpy(zero_copy_only=False).astype(bool))
 
 
@@ -139,19 +151,19 @@ def quality_scores(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str
     Null and empty texts are scored as texts without words. Rows are scored one by one, repeated or not; columns of ``docs`` pass through, and one
     named like a new column is replaced. An empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
     weights, cut = model
     kept = docs.drop("quality_score", "quality_good")
     schema = StructType([*kept.schema.fields, StructField("quality_score", DoubleType()), StructField("quality_good", BooleanType())])
+    at = kept.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            filled = whole.set_column(whole.schema.get_field_index(text_col), "text", pc.fill_null(whole.column(text_col), ""))
-            for k, batch in enumerate(by_bytes(filled)):
+            texts = pa.RecordBatch.from_arrays([pc.fill_null(whole.column(at), "")], names=["text"])
+            for k, batch in enumerate(by_bytes(texts)):
                 start = 0 if not k else start + size
                 size = batch.num_rows
                 s = score(features(batch.column("text")), weights, cut)
                 part = whole.slice(start, size)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array(s >= CUT)], names=[*part.schema.names, "quality_score", "quality_good"])
 
-    return kept.mapInArrow(run, schema)
+    return spread(kept).mapInArrow(run, schema)
