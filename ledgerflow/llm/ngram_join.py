@@ -10,8 +10,8 @@ Two steps, neither of which loses a link:
    Signatures of unlike sets seldom agree, however frequent single n-grams are. Each task keeps one row per signature
    (the others become links in its forest), so a signature that a third of all rows share
    reaches the shuffle once per task, not once per row.
-2. *Prefix-tree join.* The connected groups of step 1 are joined exactly: n-grams get one
-   order for the group (rarest first), the ordered sets go into a path-compressed trie, and one walk
+2. *Prefix-tree join.* The connected groups of step 1 are joined exactly: n-grams have one global
+   order (rarest first by the counts over all data, then by hash), the ordered sets go into a path-compressed trie, and one walk
    carries every query's overlap down the tree, sharing what prefixes share, and cuts a subtree for the queries
    whose overlap plus remaining length cannot reach the threshold. Groups above
    a bound are cut into blocks, and each pair of blocks is a task of its own.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ledgerflow.llm.common import CHUNK_BYTES, Workspace, by_bytes, id_text, mix, small_batches, string_buffer
+from ledgerflow.llm.common import CHUNK_BYTES, Workspace, by_bytes, id_text, mix, spread, string_buffer
 from ledgerflow.llm.components import connected_components, forest
 
 #: Words are runs of bytes outside [\x20\x09-\x0D], with A-Z lower-cased (fixed by the contract).
@@ -61,8 +61,15 @@ def word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     starts = ends[:-1]
     while begin < n:
         stop = min(n, begin + CHUNK_BYTES // 2)
-        while stop < n and not _SPACE[raw[stop]] and stop not in starts[np.searchsorted(starts, stop) :][:1]:
-            stop += 1
+        if stop < n:  # on to the end of the word: the next white space or row
+            edge = np.searchsorted(starts, stop)
+            row = int(starts[edge]) if edge < len(starts) else n
+            while stop < row:
+                gap = _SPACE[raw[stop : min(row, stop + CHUNK_BYTES)]]
+                if gap.any():
+                    stop += int(gap.argmax())
+                    break
+                stop += len(gap)
         part = raw[begin:stop]
         solid = ~_SPACE[part]
         first = solid.copy()
@@ -165,8 +172,8 @@ def _count_rows(width: int):
     return run
 
 
-def common_grams(texts: DataFrame, width: int, most: int = COMMON_GRAMS) -> np.ndarray:
-    """At most ``most`` n-grams that many sets hold, as sorted hashes: all with a count of 2**k or more, for the least k that keeps the bound."""
+def common_grams(texts: DataFrame, width: int, most: int = COMMON_GRAMS) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` n-grams that many sets hold, as sorted hashes with the logarithms of their counts: all with a count of 2**k or more, for the least k that keeps the bound."""
     counts = texts.mapInArrow(_count_rows(width), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n >= 4")
     work = Workspace(texts.sparkSession, "common-grams")
     counts = work.save(counts, "counts")
@@ -177,9 +184,11 @@ def common_grams(texts: DataFrame, width: int, most: int = COMMON_GRAMS) -> np.n
         if total > most:
             break
         least = k
-    found = counts.where(F.col("n") >= (1 << least)).select("gram").toArrow().column("gram").to_numpy() if least is not None else np.zeros(0, np.int64)
+    found = counts.where(F.col("n") >= (1 << (62 if least is None else least))).select("gram", F.floor(F.log2("n")).cast("byte").alias("k")).toArrow()
     work.drop(counts)
-    return np.sort(np.ascontiguousarray(found).view(np.uint64))
+    gram, level = np.ascontiguousarray(found.column("gram").to_numpy()).view(np.uint64), found.column("k").to_numpy().astype(np.uint8)
+    order = np.argsort(gram)
+    return gram[order], level[order]
 
 
 def _uncommon(sets: list[np.ndarray], common: np.ndarray) -> list[np.ndarray | None]:
@@ -248,9 +257,13 @@ def _signature_rows(width: int, threshold: float, common: np.ndarray):
     return run
 
 
-def trie_components(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+NO_COUNTS = (np.zeros(0, np.uint64), np.zeros(0, np.uint8))
+
+
+def trie_components(sets: list[np.ndarray], threshold: float, common: tuple[np.ndarray, np.ndarray] = NO_COUNTS) -> np.ndarray:
     """For each set the smallest index among the sets that links reach: an exact prefix-tree self-join.
 
+    N-grams are in one order for all sets of all groups: those not in ``common`` first, then by the logarithm of their count, then by hash.
     The trie is path-compressed: a node is a run of n-grams that all sets below it share. Every set is a query at once.
     ``overlap`` holds what each query shares with the path so far.
     """
@@ -258,7 +271,11 @@ def trie_components(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     label = np.arange(g)
     sizes = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
-    _, token, count = np.unique(flat, return_inverse=True, return_counts=True)
+    distinct, token = np.unique(flat, return_inverse=True)
+    count = np.zeros(len(distinct), np.uint8)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], distinct), len(common[0]) - 1)
+        count = np.where(common[0][at] == distinct, common[1][at], count)
     rank = np.empty(len(count), np.int64)
     rank[np.argsort(count, kind="stable")] = np.arange(len(count))
     token = rank[token]
@@ -314,14 +331,14 @@ def trie_components(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return label
 
 
-def _join_groups(width: int, threshold: float):
+def _join_groups(width: int, threshold: float, common: tuple[np.ndarray, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, sets = None, [], []
 
         def out() -> pa.RecordBatch:
             order = np.argsort(ids, kind="stable")
             nodes = np.array(ids, np.int64)[order]
-            label = trie_components([sets[i] for i in order], threshold)
+            label = trie_components([sets[i] for i in order], threshold, common)
             moved = np.flatnonzero(label != np.arange(len(nodes)))
             return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["a", "b"])
 
@@ -350,10 +367,10 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     id otherwise. Other columns are ignored; an empty table gives an empty result. Rows with a null id come back unlinked.
     """
     spark: SparkSession = docs.sparkSession
-    small_batches(spark)
     work = Workspace(spark, "ngram-join")
     texts = id_text(docs, id_col, text_col)
-    base = work.save(texts.mapInArrow(_signature_rows(width, threshold, common_grams(texts, width)), _BASE), "signatures", **{"parquet.enable.dictionary": "false"})
+    common = common_grams(spread(texts), width)
+    base = work.save(spread(texts).mapInArrow(_signature_rows(width, threshold, common[0]), _BASE), "signatures", **{"parquet.enable.dictionary": "false"})
     share = W.Window.partitionBy("sig").orderBy("id").rowsBetween(W.Window.unboundedPreceding, 0)
     met = base.select("id", F.explode("sigs").alias("sig")).withColumn("first", F.min("id").over(share)).where("first < id").select(F.col("id").alias("a"), F.col("first").alias("b"))
     local = base.select(F.col("id").alias("a"), F.explode("peers").alias("b"))
@@ -367,10 +384,8 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     pair = F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda x: x != F.col("own")))
     dealt = dealt.select("class", "group", "k", "own", F.explode(pair).alias("other")).select("class", "group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     gathered = texts.where("id is not null").join(dealt.hint("merge"), F.col("id") == F.col("class")).select("group", "i", "j", "id", "text").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
-    links = gathered.mapInArrow(_join_groups(width, threshold), "a long, b long")
+    links = gathered.mapInArrow(_join_groups(width, threshold, common), "a long, b long")
     found = connected_components(work, links)
     named = member.join(classes.select("d0", "d1", "class"), ["d0", "d1"]).select("id", "class")
     named = named.join(found, F.col("class") == F.col("node"), "left").groupBy("id").agg(F.min(F.coalesce("component", "class")).alias("component"))
     return base.select("id", F.col("n").alias("n_grams")).join(named, "id", "left").select("id", "n_grams", F.coalesce("component", "id").alias("component"))
-
-
