@@ -35,7 +35,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"), exact_dedup.fresh_index(spark))
+    out = exact_dedup.exact_duplicates(docs := _table(spark, sf_dir, "documents"), exact_dedup.fresh_index(spark, docs))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -62,14 +62,17 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(_table(spark, sf_dir, "documents"))
 
+    names = [f"n_{k}" for k in (*pii.BASE_KINDS, *pii.ADDED_KINDS)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [[(s["kind"], s["start"], s["end"]) for s in x] for x in batch.column("spans").to_pylist()]
-            counts = [pa.array([sum(s[0] == k for s in x) for x in rows], pa.int64()) for k in pii.BASE_KINDS]
+            counts = [pa.array([sum(s[0] == k for s in x) for x in rows], pa.int64()) for k in (*pii.BASE_KINDS, *pii.ADDED_KINDS)]
+            personal = pa.array([any(s[0] != "url" for s in x) for x in rows])
             digest, text = pa.array([pii.base_digest(x) for x in rows], pa.string()), pa.array([pii.as_text(x) for x in rows], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *counts, digest, text], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *counts, digest, text, personal], names=["doc_id", *names, "base_sha256", "spans", "personal"])
 
-    return found.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return found.mapInArrow(run, f"doc_id long, {', '.join(f'{n} long' for n in names)}, base_sha256 string, spans string, personal boolean")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +97,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ngram_join, op2_mix_sources, op3_exact_dedup, op4_token_counts, op5_html_extraction, op6_sentencepiece, op7_token_output, op8_pii, op9_quality_classifier, op10_vector_dedup, pipeline)
 }
 
+#: One round of the mix: documents in the order of their odds as long as they fit, and what they leave open.
+_ROUND = """, u{k} AS (
+          SELECT *, sum(size) OVER (PARTITION BY source, open{k} ORDER BY odds, doc_id, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto{k} FROM g{k}
+        ), t{k} AS (
+          SELECT *, open{k} AND upto{k} <= gap{k} AS take{k}, gap{k} - coalesce(max(CASE WHEN open{k} AND upto{k} <= gap{k} THEN upto{k} END) OVER (PARTITION BY source), 0) AS gap{n} FROM u{k}
+        ), g{n} AS (
+          SELECT *, open{k} AND NOT take{k} AND size > 0 AND size <= gap{n} AS open{n} FROM t{k}
+        )"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
@@ -113,7 +125,7 @@ ORACLE_SQL: dict[str, str] = {
                  / CAST(sum(w) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM n
         ), t AS (
           SELECT source, source_size, CASE WHEN w * level > cap THEN CAST(cap AS DOUBLE)
-                 ELSE w * (SELECT arg_min(level, cap / w) FROM l WHERE NOT w * level > cap) END AS target FROM l
+                 ELSE w * (SELECT first(level ORDER BY cap / w, source ASC NULLS LAST) FROM l WHERE NOT w * level > cap) END AS target FROM l
         ), e AS (
           SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
                  least(3.0::DOUBLE, coalesce(t.target / nullif(t.source_size, 0)::DOUBLE, 0.0::DOUBLE)) AS expect,
@@ -124,10 +136,10 @@ ORACLE_SQL: dict[str, str] = {
         ), o AS (
           SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds,
                  target - sum(CAST(base AS BIGINT) * size) OVER (PARTITION BY source) AS rest FROM r
-        ), c AS (
-          SELECT *, sum(size) OVER (PARTITION BY source, p > 0 ORDER BY odds, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM o
-        )
-        SELECT doc_id, size, source_size, target,
-               CAST(size * (base + CASE WHEN p > 0 AND upto - size / 2 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM c
+        ), g0 AS (
+          SELECT *, p > 0 AS open0, rest AS gap0 FROM o
+        )""" + "".join(_ROUND.format(k=k, n=k + 1) for k in range(mixing.ROUNDS)) + f"""
+        SELECT doc_id, size, source_size, target, CAST(size * (base + CASE WHEN {" OR ".join(f"take{k}" for k in range(mixing.ROUNDS))} OR (near AND nth = 1) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+        FROM (SELECT *, rank() OVER (PARTITION BY source, near ORDER BY abs(size - gap{mixing.ROUNDS}), odds, doc_id, size) AS nth FROM (SELECT *, p > 0 AND NOT ({" OR ".join(f"take{k}" for k in range(mixing.ROUNDS))}) AND size > 0 AND size < 2 * gap{mixing.ROUNDS} AS near FROM g{mixing.ROUNDS}))
     """,
 }
