@@ -8,6 +8,7 @@ left out. A task sends each vector's number of links and a forest of them, not t
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -16,26 +17,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import Workspace, small_batches
+from ledgerflow.llm.common import Workspace
 from ledgerflow.llm.components import connected_components, forest
 
 #: Share of pairs exactly at the threshold that all tables together may miss.
 MISS = 0.02
-#: Vectors a bucket holds on average when unlike vectors spread evenly, and members of a block.
-PER_BUCKET, BLOCK = 50, 2048
+#: Vectors a bucket holds on average when unlike vectors spread evenly, and members of a block. A bucket is one matrix product, so
+#: some hundred vectors cost little more than a few, and each halving of buckets saves a bit, and so tables and shuffled vectors.
+PER_BUCKET, BLOCK = 256, 2048
+#: Bits of a bucket's number that hold the key; the table is above them.
+_KEY_BITS = 48
 
 
 def plan_tables(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
     """(bits per key, tables): bits grow with the logarithm of n, tables follow from the miss rate."""
-    bits = min(24, max(8, math.ceil(math.log2(max(n, 2) / PER_BUCKET))))
+    bits = max(6, math.ceil(math.log2(max(n, 2) / PER_BUCKET)))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log(1 - agree))
 
 
+@functools.lru_cache(maxsize=4)
+def _planes(width: int, n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, width]).standard_normal((width, n))
+
+
 def _keys(x: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
     """Bucket keys, one column per table."""
-    planes = np.random.default_rng([seed, x.shape[1]]).standard_normal((x.shape[1], bits * tables))
-    signs = (x @ planes > 0).reshape(len(x), tables, bits)
+    signs = (x @ _planes(x.shape[1], bits * tables, seed) > 0).reshape(len(x), tables, bits)
     return signs @ (1 << np.arange(bits, dtype=np.int64))
 
 
@@ -52,7 +60,6 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     Other columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    small_batches(spark)
     work = Workspace(spark, "vector-dedup")
     read = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = F.coalesce(F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists("v", lambda x: x != 0), F.lit(False))
@@ -69,16 +76,16 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
             for width in np.unique(widths):
                 batch = whole.filter(pa.array(widths == width))
                 k = _keys(_rows(batch.column("v")), bits, tables, seed)
-                own = np.arange(tables, dtype=np.int64) << 40 | int(width) << 24 if width < 1 << 16 else np.arange(tables, dtype=np.int64) << 40
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), tables)), pa.array((k | own).ravel())], names=["id", "bucket"])
-
-    posts = work.save(reps.select("id", "v").mapInArrow(keys, "id long, bucket long"), "buckets")
-    sizes = posts.groupBy("bucket").count().where("count > 1").select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("k"))
-    dealt = posts.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("id", "bucket"), F.col("k")).cast("int"))
-    dealt = dealt.select("id", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    dealt = dealt.select("id", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("late"))
+                own = np.arange(tables, dtype=np.int64) << _KEY_BITS
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), tables)), pa.array(np.full(k.size, width, np.int32)), pa.array((k | own).ravel())], names=["id", "width", "bucket"])
+
+    posts = work.save(reps.select("id", "v").mapInArrow(keys, "id long, width int, bucket long"), "buckets")
+    sizes = posts.groupBy("width", "bucket").count().where("count > 1").select("width", "bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("k"))
+    dealt = posts.join(sizes, ["width", "bucket"]).withColumn("own", F.pmod(F.xxhash64("id", "bucket"), F.col("k")).cast("int"))
+    dealt = dealt.select("id", "width", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    dealt = dealt.select("id", "width", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("late"))
     single = reps.select(F.col("id").alias("vid"), "copies", F.col("v").cast("array<float>").alias("f"), F.when(F.col("v") != F.col("v").cast("array<float>").cast("array<double>"), F.col("v")).alias("d"))
-    carried = dealt.join(single, F.col("id") == F.col("vid")).select("bucket", "i", "j", "late", "id", "copies", "f", "d")
+    carried = dealt.join(single, F.col("id") == F.col("vid")).select("width", "bucket", "i", "j", "late", "id", "copies", "f", "d")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -90,20 +97,32 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
             ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
             x = np.array([f if d is None else d for f, d in zip(table.column("f").to_pylist(), table.column("d").to_pylist(), strict=True)], float) if table.column("d").null_count < len(table) else _rows(table.column("f").combine_chunks())
             late = table.column("late").to_numpy(zero_copy_only=False)
-            k = _keys(x, bits, tables, seed)[:, : key[0] >> 40]
+            raw = x
             x = x / np.abs(x).max(axis=1, keepdims=True)
             x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+            #: The two sides of a pair of blocks; a block alone is both.
+            one = key[2] == key[3]
+            left, right = (np.arange(len(x)),) * 2 if one else (np.flatnonzero(~late), np.flatnonzero(late))
             links, a_all, b_all = np.zeros(len(x), np.int64), [], []
-            for s in range(0, len(x), 512):
-                a, b = np.nonzero(x[s : s + 512] @ x.T >= threshold)
-                a += s
-                fit = (a < b) if key[1] == key[2] else (late[a] < late[b])
-                a, b = a[fit], b[fit]
+            for s in range(0, len(left), 512):
+                begin = s if one else 0
+                a, b = np.nonzero(x[left[s : s + 512]] @ x[right[begin:]].T >= threshold)
+                if one:
+                    fit = a < b
+                    a, b = a[fit], b[fit]
+                if not len(a):
+                    continue
+                a, b = left[a + s], right[b + begin]
                 a_all.append(a)
                 b_all.append(b)
-                new = ~(k[a] == k[b]).any(axis=1)
+                #: Keys of the tables before this one, of the vectors in pairs only.
+                some, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+                k = _keys(raw[some], bits, tables, seed)[:, : key[1] >> _KEY_BITS]
+                new = ~(k[at[: len(a)]] == k[at[len(a) :]]).any(axis=1)
                 np.add.at(links, a[new], copies[b[new]])
                 np.add.at(links, b[new], copies[a[new]])
+            if not a_all:
+                return None
             a, b = np.concatenate(a_all), np.concatenate(b_all)
             root = np.array(ids)
             p, q = forest(ids[a], ids[b])
@@ -113,7 +132,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
             return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(root[some])], names=["id", "links", "root"])
 
         for batch in batches:
-            codes = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j")), strict=True))
+            codes = list(zip(*(batch.column(c).to_pylist() for c in ("width", "bucket", "i", "j")), strict=True))
             start = 0
             for r in range(1, len(codes) + 1):
                 if r == len(codes) or codes[r] != codes[start]:
@@ -126,7 +145,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
         if held and (ready := out()) is not None:
             yield ready
 
-    found = carried.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(compare, "id long, links long, root long")
+    found = carried.repartition("bucket", "i", "j", "width").sortWithinPartitions("bucket", "i", "j", "width").mapInArrow(compare, "id long, links long, root long")
     found = work.save(found, "found")
     comps = connected_components(work, found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     degree = found.groupBy("id").agg(F.sum("links").alias("links"))
