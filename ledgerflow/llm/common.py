@@ -70,10 +70,6 @@ class Workspace:
             target.getFileSystem(conf).delete(target, True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Spark bounds Arrow batches by bytes itself."""
-
-
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a table's bytes, from file sizes; nothing is read. 0 where it has none (rows from the driver)."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
