@@ -30,7 +30,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with a null id stay if no row with that text has an id. Rows that repeat an id and a text stay or go together;
     rows that repeat an id with other texts are decided one by one.
     """
-    found = exact_dedup.exact_duplicates(docs, exact_dedup.fresh_index(spark))
+    found = exact_dedup.exact_duplicates(docs, exact_dedup.fresh_index(spark, docs))
     #: The decision is one of id and text.
     kept = found.where("kept").select(F.col("id").alias("kept_id"), F.col("text_sha256").alias("kept_sha256")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (exact_dedup.text_digest("text") == F.col("kept_sha256")), "left_semi").select(*docs.columns)
