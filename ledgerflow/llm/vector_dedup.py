@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +48,28 @@ def _keys(x: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
     return signs @ (1 << np.arange(bits, dtype=np.int64))
 
 
-def _rows(lists: pa.Array) -> np.ndarray:
-    width = len(lists[0])
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors as bytes, which Spark moves as one block: single precision where that is exact, else double."""
+    for batch in batches:
+        lists = batch.column("v")
+        edge = lists.offsets.to_numpy()
+        flat = lists.values.to_numpy(zero_copy_only=False)
+        with np.errstate(over="ignore"):
+            short = flat.astype("<f4")
+        bad = np.concatenate([[0], np.cumsum(short != flat)])
+        raw = [(flat if bad[b] > bad[a] else short)[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copies"), pa.array(np.diff(edge).astype(np.int32)), pa.array(raw, pa.binary())], names=["id", "copies", "width", "raw"])
+
+
+def _unpack(raw: pa.Array, width: int) -> np.ndarray:
+    """Packed vectors of one width, as rows in double precision."""
+    size = pc.binary_length(raw).to_numpy()
+    out = np.empty((len(raw), width))
+    for kind, each in (("<f4", 4), ("<f8", 8)):
+        some = size == each * width
+        if some.any():
+            out[some] = np.frombuffer(b"".join(raw.filter(pa.array(some)).to_pylist()), kind).reshape(-1, width)
+    return out
 
 
 def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, miss: float = MISS, seed: int = 11) -> DataFrame:
@@ -66,26 +86,27 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     named = work.save(read.select("id", F.when(fine, F.col("v")).alias("v")).withColumns({"h0": F.when(F.col("v").isNotNull(), F.xxhash64("v")), "h1": F.xxhash64(F.lit(1), "v")}), "vectors")
     reps = named.where("v is not null").groupBy("h0", "h1").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v")).where("id is not null")
     reps = work.save(reps, "distinct")
+    packed = work.save(reps.select("id", "copies", "v").mapInArrow(_pack, "id long, copies long, width int, raw binary"), "packed", **{"parquet.enable.dictionary": "false"})
     bits, tables = plan_tables(reps.count(), threshold, miss)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             if not whole.num_rows:
                 continue
-            widths = np.diff(whole.column("v").offsets.to_numpy())
+            widths = whole.column("width").to_numpy()
             for width in np.unique(widths):
                 batch = whole.filter(pa.array(widths == width))
-                k = _keys(_rows(batch.column("v")), bits, tables, seed)
+                k = _keys(_unpack(batch.column("raw"), int(width)), bits, tables, seed)
                 own = np.arange(tables, dtype=np.int64) << _KEY_BITS
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), tables)), pa.array(np.full(k.size, width, np.int32)), pa.array((k | own).ravel())], names=["id", "width", "bucket"])
 
-    posts = work.save(reps.select("id", "v").mapInArrow(keys, "id long, width int, bucket long"), "buckets")
+    posts = work.save(packed.select("id", "width", "raw").mapInArrow(keys, "id long, width int, bucket long"), "buckets")
     sizes = posts.groupBy("width", "bucket").count().where("count > 1").select("width", "bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("k"))
     dealt = posts.join(sizes, ["width", "bucket"]).withColumn("own", F.pmod(F.xxhash64("id", "bucket"), F.col("k")).cast("int"))
     dealt = dealt.select("id", "width", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     dealt = dealt.select("id", "width", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("late"))
-    single = reps.select(F.col("id").alias("vid"), "copies", F.col("v").cast("array<float>").alias("f"), F.when(F.col("v") != F.col("v").cast("array<float>").cast("array<double>"), F.col("v")).alias("d"))
-    carried = dealt.join(single, F.col("id") == F.col("vid")).select("width", "bucket", "i", "j", "late", "id", "copies", "f", "d")
+    single = packed.select(F.col("id").alias("vid"), "copies", "raw")
+    carried = dealt.join(single, F.col("id") == F.col("vid")).select("width", "bucket", "i", "j", "late", "id", "copies", "raw")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -95,7 +116,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
             if len(table) < 2:
                 return None
             ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
-            x = np.array([f if d is None else d for f, d in zip(table.column("f").to_pylist(), table.column("d").to_pylist(), strict=True)], float) if table.column("d").null_count < len(table) else _rows(table.column("f").combine_chunks())
+            x = _unpack(table.column("raw").combine_chunks(), key[0])
             late = table.column("late").to_numpy(zero_copy_only=False)
             raw = x
             x = x / np.abs(x).max(axis=1, keepdims=True)
