@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from enum import Enum
 from types import MappingProxyType
 
@@ -23,6 +23,8 @@ REFUSED_SHARE = (
     "group.remote.assignor",
 )
 REFUSED_CLASSIC = ("enable.auto.commit", "auto.commit.interval.ms", "share.acknowledgement.mode", "share.acquire.mode", "interceptor.classes", "group.remote.assignor")
+#: Properties that a broker's source can't do without.
+REQUIRED = ("bootstrap.servers", "group.id")
 #: Delays up to this many milliseconds are slept by the worker that failed.
 INLINE_LIMIT_MS = 1000
 
@@ -130,9 +132,24 @@ class BarrierConfig:
         return max(self.least_ms, self.poll_timeout_ms)
 
 
+def _parsed(key: str, value: str, kind: str):
+    """A text setting as the number, truth value or list of names that its field holds."""
+    text = value.strip()
+    try:
+        if kind.startswith("bool"):
+            return {"true": True, "false": False}[text.lower()]
+        if kind.startswith("tuple"):
+            return tuple(x.strip() for x in text.split(",") if x.strip())
+        return float(text) if kind.startswith("float") else int(text)
+    except (KeyError, ValueError):
+        raise ValueError(f"setting {key}: {value!r} isn't of kind {kind}") from None
+
+
 @dataclass(frozen=True)
 class DeliveryConfig:
-    topic: str = "events"
+    """One consumer's settings. A topic is required."""
+
+    topic: str
     engine: Engine = Engine.SHARE
     ordering: Ordering = Ordering.UNORDERED
     guarantee: Guarantee | None = None
@@ -164,6 +181,47 @@ class DeliveryConfig:
             _need(key not in self.properties, f"property {key} is not supported by the {self.engine.value} engine")
         object.__setattr__(self, "properties", MappingProxyType(dict(self.properties)))
 
+    def for_broker(self) -> DeliveryConfig:
+        """This configuration, if it has what a broker needs: its servers and a consumer group."""
+        for key in REQUIRED:
+            _need(bool(self.properties.get(key, "").strip()), f"property {key} is required")
+        return self
+
+    @classmethod
+    def from_settings(cls, settings: Mapping[str, str], prefix: str = "ledger.") -> DeliveryConfig:
+        """From flat text settings (``ledger.topic``, ``ledger.concurrency``, ``ledger.retry.max-attempts``, ``ledger.properties.group.id``).
+
+        Names are in kebab case; a name that stands for nothing, or a value that doesn't parse, is refused.
+        """
+        own, retry, barrier, properties = {}, {}, {}, {}
+        parse = {"engine": lambda v: Engine(v.lower()), "ordering": lambda v: Ordering(v.lower()), "guarantee": lambda v: Guarantee(v.lower()), "topic": str}
+        for key, value in settings.items():
+            if not key.startswith(prefix):
+                continue
+            name = key[len(prefix) :]
+            part, _, rest = name.partition(".")
+            if part == "properties" and rest:
+                properties[rest] = value
+            elif part in ("retry", "barrier") and rest:
+                field_name = rest.replace("-", "_")
+                known = {f.name: f.type for f in fields(RetryPolicy if part == "retry" else BarrierConfig)}
+                _need(field_name in known and field_name != "parents", f"unknown setting {key}")
+                (retry if part == "retry" else barrier)[field_name] = _parsed(key, value, known[field_name])
+            else:
+                field_name = name.replace("-", "_")
+                known = {f.name: f.type for f in fields(cls) if f.name not in ("properties", "retry", "dead_letters", "barrier")}
+                _need(field_name in known, f"unknown setting {key}")
+                try:
+                    own[field_name] = parse[field_name](value) if field_name in parse else _parsed(key, value, known[field_name])
+                except ValueError as e:
+                    raise ValueError(f"setting {key}: {e}") from None
+        if retry:
+            own["retry"] = RetryPolicy(**retry)
+        if barrier:
+            own["barrier"] = BarrierConfig(**barrier)
+        _need("topic" in own, f"setting {prefix}topic is required")
+        return cls(**own, properties=properties)
+
     @property
     def shard_count(self) -> int:
         return self.shards or self.concurrency * 4

@@ -35,6 +35,15 @@ def terminal_outcomes(attempts: DataFrame, dead_letters: bool) -> DataFrame:
     return done.withColumn("outcome", outcome).withColumn("cause", cause)
 
 
+def next_deliveries(attempts: DataFrame) -> DataFrame:
+    """The share engine's answer to a delayed retry: the record is released at once and comes back with a higher delivery count.
+
+    The delay isn't waited for and the attempt starts at 0 again; the broker's count is what remembers.
+    """
+    back = attempts.where("decision = 'delayed'")
+    return back.withColumn("delivery_count", F.coalesce("delivery_count", F.lit(1)) + 1).withColumn("attempt", F.lit(0)).withColumn("outcome", F.lit("release"))
+
+
 def with_timeout(attempts: DataFrame, limit_ms: int) -> DataFrame:
     """``timed_out`` counts only if the handler threw; the timeout then replaces its error."""
     late = (F.col("duration_ms") > limit_ms) & F.col("failed")

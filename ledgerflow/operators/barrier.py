@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,6 +32,12 @@ def adaptive_barrier(samples: DataFrame, keys: Sequence[str], config: BarrierCon
     return seen.select(*keys, "samples", F.when(flat, ceiling).otherwise(fitted).alias("barrier_ms"))
 
 
+def lock_alignment(lock_ms: Column, broker_ms: Column) -> tuple[Column, Column]:
+    """(ceiling_ms, unsafe): an unset lock takes 80 % of the broker's, a set one is used as it is, and is unsafe if it isn't below the broker's."""
+    ceiling = F.coalesce(lock_ms, F.floor(broker_ms * 80 / 100)).cast("bigint")
+    return ceiling.alias("ceiling_ms"), F.coalesce(lock_ms >= broker_ms, F.lit(False)).alias("unsafe")
+
+
 def drain(records: DataFrame, batch: str, barrier_ms: int) -> DataFrame:
     """Per batch: cost until all are done or the barrier ends, and how many are released as slow."""
     return records.groupBy("topic", batch).agg(F.max(F.least(F.col("duration_ms"), F.lit(barrier_ms).cast("bigint"))).alias("cost_ms"), F.count_if(F.col("duration_ms") > barrier_ms).alias("released"))

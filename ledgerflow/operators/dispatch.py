@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.config import Ordering
@@ -33,6 +33,18 @@ def schedule(records: DataFrame, ordering: Ordering, shards: int = 64) -> DataFr
     return running_sum(rows, keys, "offset", "duration_ms").withColumnRenamed("running", "end_ms").withColumn("start_ms", F.col("end_ms") - F.col("duration_ms"))
 
 
+def shard_count(shards: Column, concurrency: Column) -> Column:
+    """Key lanes: as set, else four for each worker."""
+    return F.coalesce(shards, concurrency * 4)
+
+
+def completions(records: DataFrame, ownership: DataFrame, throws: Column) -> DataFrame:
+    """Adds ``completes`` for classic unordered delivery: a record that isn't owned any more, or whose handler throws, never completes."""
+    newest = ownership.groupBy("topic", "partition").agg(F.max("epoch").alias("_epoch"))
+    rows = records.join(newest, ["topic", "partition"], "left")
+    return rows.withColumn("completes", F.coalesce(F.col("epoch") == F.col("_epoch"), F.lit(False)) & ~F.coalesce(throws, F.lit(False))).drop("_epoch")
+
+
 def makespans(records: DataFrame, concurrency: int = 16, shards: int = 64) -> DataFrame:
     """(mode, makespan_ms) by sums and maxima alone: serial, share batches, key lanes, partition lanes."""
     total = records.agg(F.sum("duration_ms").alias("makespan_ms")).select(F.lit("serial").alias("mode"), "makespan_ms")

@@ -52,6 +52,14 @@ def high_water(commits: DataFrame) -> DataFrame:
     return both.select(*TP, "committed", F.when(F.col("failed") > F.coalesce("committed", F.lit(-1)), F.col("failed")).alias("buffered"))
 
 
+def high_water_history(commits: DataFrame) -> DataFrame:
+    """(topic, partition, seq, committed, buffered) after each commit event (seq, position, ok) of a partition."""
+    rows = commits.withColumns({"_ok": F.when(F.col("ok"), F.col("position")), "_bad": F.when(~F.col("ok"), F.col("position"))})
+    good = running_max(rows, TP, "seq", "_ok").withColumnRenamed("running", "committed")
+    both = running_max(good, TP, "seq", "_bad").withColumnRenamed("running", "failed")
+    return both.select(*TP, "seq", "committed", F.when(F.col("failed") > F.coalesce("committed", F.lit(-1)), F.col("failed")).alias("buffered"))
+
+
 def drop_stale(candidates: DataFrame, marks: DataFrame) -> DataFrame:
     """Candidate positions above the committed one."""
     return candidates.join(marks.select(*TP, "committed"), list(TP), "left").where("committed is null or position > committed").drop("committed")

@@ -8,6 +8,48 @@ from pyspark.sql import functions as F
 METER = "ledger.consumer."
 
 
+class Meters:
+    """Where live meters go. Every method does nothing here; a sink overrides what it takes."""
+
+    def counter(self, name: str, value: float, **tags: str) -> None: ...
+
+    def gauge(self, name: str, value: float, **tags: str) -> None: ...
+
+    def timer(self, name: str, ms: float, **tags: str) -> None: ...
+
+    def close(self) -> None:
+        """The query has ended: gauges go, counters and timers stay."""
+
+
+class RecordingMeters(Meters):
+    """A sink in memory: one meter per name and tags. Shared by several queries, it closes when the last of them has."""
+
+    def __init__(self, users: int = 1) -> None:
+        self.counters: dict[tuple, float] = {}
+        self.gauges: dict[tuple, float] = {}
+        self.timers: dict[tuple, list[float]] = {}
+        self._users = users
+
+    @staticmethod
+    def _key(name: str, tags: dict[str, str]) -> tuple:
+        return (METER + name, *sorted(tags.items()))
+
+    def counter(self, name: str, value: float, **tags: str) -> None:
+        key = self._key(name, tags)
+        self.counters[key] = self.counters.get(key, 0) + value
+
+    def gauge(self, name: str, value: float, **tags: str) -> None:
+        self.gauges[self._key(name, tags)] = value
+
+    def timer(self, name: str, ms: float, **tags: str) -> None:
+        self.timers.setdefault(self._key(name, tags), []).append(ms)
+
+    def close(self) -> None:
+        self._users -= 1
+        if self._users <= 0:
+            self.gauges.clear()
+
+
 def counter(rows: DataFrame, name: str, **tags) -> DataFrame:
     """(name, kind, tags, value): rows per tag set, tags as k=v joined by commas in the order given."""
     text = F.concat_ws(",", *(F.concat(F.lit(f"{k}="), c.cast("string")) for k, c in tags.items()))
@@ -40,6 +82,16 @@ def failure_counters(publishes: DataFrame, commits: DataFrame) -> DataFrame:
     return counter(publishes.where("not ok"), "dlt.failures", topic=F.col("topic"), cause=simple).unionByName(counter(commits.where("not ok"), "ack.commit_failed", topic=F.col("topic"), exception_class=simple))
 
 
+def backpressure_events(transitions: DataFrame) -> DataFrame:
+    """Pauses and resumes per topic, from rows (topic, event); rows without an event don't count."""
+    return counter(transitions.where("event is not null"), "backpressure.events", topic=F.col("topic"), event=F.col("event"))
+
+
+def barrier_gauges(barriers: DataFrame, key: str) -> DataFrame:
+    """The barrier in force per key, from rows (key, barrier_ms)."""
+    return barriers.select(F.lit(METER + "barrier.timeout").alias("name"), F.lit("gauge").alias("kind"), F.concat(F.lit(f"{key}="), F.col(key)).alias("tags"), F.col("barrier_ms").cast("double").alias("value"))
+
+
 def timers(attempts: DataFrame) -> DataFrame:
     """process.duration over successes and failures: count, sum, max and nearest-rank percentiles."""
     return attempts.groupBy("topic").agg(

@@ -6,9 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ledgerflow.operators.running import running_sum
+from ledgerflow.operators.running import previous, running_last, running_max, running_sum
 
 #: Milliseconds of a block of the in-flight sum, about 17 minutes.
 TIME_BLOCK = 1 << 20
@@ -32,18 +31,33 @@ def peak(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def hysteresis(samples: DataFrame, keys: Sequence[str], limit: int, order: str = "tick") -> DataFrame:
-    """Adds paused and event (paused, resumed or null) for samples ``n`` in poll order: pause at limit, resume at half of it."""
-    line = Window.partitionBy(*keys).orderBy(order)
+    """Adds paused and event (paused, resumed or null) for samples ``n`` in poll order (integers): pause at limit, resume at half of it."""
     signal = F.when(F.col("n") >= limit, True).when(F.col("n") <= limit // 2, False)
-    rows = samples.withColumn("paused", F.coalesce(F.last(signal, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)))
-    was = F.coalesce(F.lag("paused").over(line), F.lit(False))
-    return rows.withColumn("event", F.when(F.col("paused") & ~was, "paused").when(~F.col("paused") & was, "resumed"))
+    rows = running_last(samples.withColumn("_signal", signal), keys, order, "_signal").drop("_signal")
+    rows = rows.withColumn("paused", F.coalesce("running", F.lit(False))).withColumn("_was", F.coalesce("before", F.lit(False))).drop("running", "before")
+    return rows.withColumn("event", F.when(F.col("paused") & ~F.col("_was"), "paused").when(~F.col("paused") & F.col("_was"), "resumed")).drop("_was")
 
 
 def pause_spans(holds: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Spans in which at least one hold is open, from holds (start_ms, end_ms); touching spans are one."""
-    line = Window.partitionBy(*keys).orderBy("start_ms", "end_ms")
-    open_until = F.max("end_ms").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    marked = holds.withColumn("new", F.when(open_until.isNull() | (F.col("start_ms") > open_until), 1).otherwise(0))
-    numbered = marked.withColumn("span", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "span").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("holds")).drop("span")
+    """Spans in which at least one hold is open, from holds (start_ms, end_ms); touching spans are one.
+
+    Holds are folded per start first, so starts differ. A span begins where no earlier hold reaches; the last such start names it.
+    """
+    held = holds.groupBy(*keys, "start_ms").agg(F.max("end_ms").alias("end_ms"), F.count("*").alias("n"))
+    reach = running_max(held, keys, "start_ms", "end_ms", TIME_BLOCK).withColumnRenamed("running", "_reach")
+    marked = previous(reach, keys, ["start_ms"], "_reach", TIME_BLOCK).withColumn("_new", F.when(F.col("before").isNull() | (F.col("start_ms") > F.col("before")), F.col("start_ms")))
+    named = running_max(marked.drop("before", "_reach"), keys, "start_ms", "_new", TIME_BLOCK)
+    return named.groupBy(*keys, F.col("running").alias("span")).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.sum("n").alias("holds")).drop("span")
+
+
+def paused_by_both(samples: DataFrame, spans: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Adds ``held`` and ``stopped``: a partition polls only if neither backpressure pauses it nor a failed publish of this epoch holds it.
+
+    ``spans`` (keys, start_ms, end_ms) are those of pause_spans by partition and epoch; a resume by backpressure never lifts a hold.
+    A sample is held if the last span that begins by then is still open, so samples and spans are merged in order, not joined by range.
+    """
+    ticks = samples.withColumn("_end", F.lit(None).cast("bigint")).withColumn("_at", 2 * F.col(order) + 1)
+    starts = spans.select(*keys, F.col("end_ms").alias("_end"), (2 * F.col("start_ms")).alias("_at"))
+    both = running_last(ticks.unionByName(starts, allowMissingColumns=True), keys, "_at", "_end", 2 * TIME_BLOCK).where(F.col(order).isNotNull())
+    held = both.withColumn("held", F.coalesce(F.col(order) < F.col("running"), F.lit(False))).drop("_end", "_at", "running", "before")
+    return held.withColumn("stopped", F.col("held") | F.col("paused"))

@@ -25,10 +25,32 @@ def running_max(rows: DataFrame, keys: Sequence[str], order: str, value: str, bl
     return _running(rows, keys, order, value, block, F.max, F.greatest)
 
 
-def _running(rows: DataFrame, keys: Sequence[str], order: str, value: str, block: int, fold, both) -> DataFrame:
+def running_last(rows: DataFrame, keys: Sequence[str], order: str, value: str, block: int = BLOCK) -> DataFrame:
+    """Adds ``running``: the last ``value`` that isn't null up to the row, and ``before``: the same up to the row before it."""
+    cut, inside, bases = _blocks(rows, keys, order, block, F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))), lambda fold, before: F.last(fold, ignorenulls=True).over(before))
+    here = F.last(value, ignorenulls=True)
+    line = Window.partitionBy(*keys, "_block").orderBy(order)
+    joined = cut.join(bases, [*keys, "_block"])
+    return joined.withColumns({"running": F.coalesce(here.over(inside), "_base"), "before": F.coalesce(here.over(line.rowsBetween(Window.unboundedPreceding, -1)), "_base")}).drop("_block", "_base")
+
+
+def previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, block: int = BLOCK) -> DataFrame:
+    """Adds ``before``: ``value`` (not null) of the row before in the order of ``order``, of which the first is an integer that makes the blocks."""
+    rank = F.struct(*order)
+    cut, _, bases = _blocks(rows, keys, order[0], block, F.max_by(value, rank), lambda fold, before: F.last(fold, ignorenulls=True).over(before))
+    line = Window.partitionBy(*keys, "_block").orderBy(*order)
+    return cut.join(bases, [*keys, "_block"]).withColumn("before", F.coalesce(F.lag(value).over(line), "_base")).drop("_block", "_base")
+
+
+def _blocks(rows: DataFrame, keys: Sequence[str], order: str, block: int, fold, carry):
+    """(rows with their block, the window of a block up to a row, what the blocks before carry into each)."""
     cut = rows.withColumn("_block", F.col(order) - F.pmod(order, F.lit(block)))
     inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = cut.groupBy(*keys, "_block").agg(fold(value).alias("_fold")).select(*keys, "_block", fold("_fold").over(before).alias("_base"))
+    return cut, inside, cut.groupBy(*keys, "_block").agg(fold.alias("_fold")).select(*keys, "_block", carry(F.col("_fold"), before).alias("_base"))
+
+
+def _running(rows: DataFrame, keys: Sequence[str], order: str, value: str, block: int, fold, both) -> DataFrame:
+    cut, inside, bases = _blocks(rows, keys, order, block, fold(value), lambda x, before: fold(x).over(before))
     joined = cut.join(bases, [*keys, "_block"])
     return joined.withColumn("running", both(F.col("_base"), fold(value).over(inside))).drop("_block", "_base")

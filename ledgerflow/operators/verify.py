@@ -6,13 +6,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ledgerflow.operators.running import previous
 
 
 def order_violations(rows: DataFrame, keys: Sequence[str], seq: str, observed: str) -> DataFrame:
     """(keys, n, violations): a sequence number below the one observed before it."""
-    prev = F.lag(seq).over(Window.partitionBy(*keys).orderBy(observed, seq))
-    return rows.withColumn("bad", F.coalesce(F.col(seq) < prev, F.lit(False))).groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("bad").alias("violations"))
+    lines = previous(rows, keys, [observed, seq], seq)
+    return lines.withColumn("bad", F.coalesce(F.col(seq) < F.col("before"), F.lit(False))).groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("bad").alias("violations"))
+
+
+def over_limit(in_flight: DataFrame, limit: int) -> DataFrame:
+    """Moments at which more records were in flight than there are permits."""
+    return in_flight.where(F.col("n") > limit)
 
 
 def conservation(produced: DataFrame, processed: DataFrame, dead: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,7 +14,7 @@ from ledgerflow.config import BarrierConfig, DeadLetterConfig, Ordering, RetryPo
 from ledgerflow.functions import decode, keys, retry
 from ledgerflow.operators import acks, attempts, barrier, dead_letters, dispatch, frontier, handlers, metrics, pressure, verify
 from ledgerflow.sources.records import epoch_ms, from_position, read_events, records_from_events
-from ledgerflow.streaming.pipeline import run_ledger
+from ledgerflow.streaming.pipeline import run_ledger, run_positions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,23 +84,23 @@ def records_scan(spark, sf):
   SELECT topic, CASE WHEN bad THEN 'reject' ELSE 'decoded' END AS outcome, CAST(count(*) AS BIGINT) AS n, CAST(coalesce(sum(CASE WHEN bad THEN 0 ELSE CAST(nullif(k, '') AS BIGINT) END), 0) AS BIGINT) AS k_sum FROM p GROUP BY ALL""".replace('^.."k"', '^.\\"k\\"').replace('\\"', '"'))
 def poison_split(spark, sf):
     rows = _rec(spark, sf).withColumn("value", F.when(F.pmod("offset", F.lit(50)) == 0, F.encode(F.lit('{"k'), "UTF-8")).otherwise(F.col("value")))
-    good, bad = decode.split_poison(rows, F.from_json(decode.utf8(F.col("value")), "k bigint")["k"])
-    one = good.groupBy("topic").agg(F.count("*").alias("n"), F.sum("payload").alias("k_sum")).withColumn("outcome", F.lit("decoded"))
+    good, bad = decode.split_poison(rows, decode.json_payload(decode.utf8(F.col("value")), "k bigint"))
+    one = good.groupBy("topic").agg(F.count("*").alias("n"), F.coalesce(F.sum("payload.k"), F.lit(0)).alias("k_sum")).withColumn("outcome", F.lit("decoded"))
     return one.unionByName(bad.groupBy("topic", "outcome").agg(F.count("*").alias("n")).withColumn("k_sum", F.lit(0).cast("bigint")))
 
 
-@query("""SELECT doc_id, len(hx) > 42 AND substr(hx, 43, 1) IN ('8', '9', 'A', 'B') AS malformed,
-  CAST(len(list_filter(range(0, CAST(least(21, len(hx) // 2) AS BIGINT)), lambda i: substr(hx, 2 * i + 1, 1) NOT IN ('8', '9', 'A', 'B'))) AS BIGINT) AS n_chars
-  FROM (SELECT doc_id, hex(encode(text)) AS hx FROM documents)""")
+@query("""SELECT doc_id, doc_id % 3 = 0 AS malformed, CAST(len(text) + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_chars, md5(text || CASE WHEN doc_id % 3 = 0 THEN chr(65533) ELSE '' END) AS text_md5 FROM documents""")
 def utf8_decode(spark, sf):
-    cut = F.substring(F.col("text").cast("binary"), 1, 21)
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", decode.is_malformed(cut).alias("malformed"), F.length(decode.utf8(cut)).cast("bigint").alias("n_chars"))
+    """Every third text ends in the first two bytes of a character of three, which decode to one U+FFFD."""
+    raw = F.concat(F.col("text").cast("binary"), F.when(F.pmod("doc_id", F.lit(3)) == 0, F.unhex(F.lit("E282"))).otherwise(F.unhex(F.lit(""))))
+    text = decode.utf8(F.col("raw"))
+    return spark.read.parquet(f"{sf}/documents.parquet").withColumn("raw", raw).select("doc_id", decode.is_malformed(F.col("raw")).alias("malformed"), F.length(text).cast("bigint").alias("n_chars"), F.md5(text.cast("binary")).alias("text_md5"))
 
 
-@query("""SELECT doc_id, CAST(len(list_filter(range(0, CAST(least(50, len(hx) // 2) AS BIGINT)), lambda i: substr(hx, 2 * i + 1, 1) NOT IN ('8', '9', 'A', 'B')))
-  - CASE WHEN substr(hx, 101, 1) IN ('8', '9', 'A', 'B') THEN 1 ELSE 0 END AS BIGINT) AS n_chars FROM (SELECT doc_id, hex(encode(text)) AS hx FROM documents)""")
+@query("""SELECT doc_id, CAST(len(list_filter(range(0, CAST(least(4096, len(hx) // 2) AS BIGINT)), lambda i: substr(hx, 2 * i + 1, 1) NOT IN ('8', '9', 'A', 'B')))
+  - CASE WHEN substr(hx, 8193, 1) IN ('8', '9', 'A', 'B') THEN 1 ELSE 0 END AS BIGINT) AS n_chars FROM (SELECT doc_id, hex(encode(text)) AS hx FROM documents)""")
 def truncated_trace(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.length(decode.truncate_utf8(F.col("text"), 50)).cast("bigint").alias("n_chars"))
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.length(decode.truncate_utf8(F.col("text"))).cast("bigint").alias("n_chars"))
 
 
 @query(f"""WITH {REC} SELECT "offset", event_type || '|' || event_type || '-2' AS vals, event_type || '-2' AS last, CAST(NULL AS VARCHAR) AS absent, 'type|src' AS names FROM rec""")
@@ -140,9 +141,9 @@ def shard_collision_rate(spark, sf):
     return verify.collisions(dispatch.with_shard(_rec(spark, sf), 64))
 
 
-@query(f'WITH {REC} SELECT "partition", CAST(0 AS INT) AS shard, CAST(count(*) AS BIGINT) AS records FROM rec WHERE "offset" % 50 = 0 GROUP BY 1')
+@query(f"""WITH {REC}, {HASH} SELECT "partition", CAST(CASE WHEN "offset" % 50 = 0 THEN 0 ELSE ((key_hash % 16) + 16) % 16 END AS INT) AS shard, CAST(count(*) AS BIGINT) AS records FROM hashed GROUP BY 1, 2""")
 def null_key_shard(spark, sf):
-    rows = _rec(spark, sf).where("pmod(offset, 50) = 0").withColumn("key", F.lit(None).cast("binary"))
+    rows = _rec(spark, sf).withColumn("key", F.when(F.pmod("offset", F.lit(50)) != 0, F.col("key")))
     return dispatch.with_shard(rows, 16).groupBy("partition", "shard").agg(F.count("*").alias("records"))
 
 
@@ -278,7 +279,8 @@ def ack_then_throw(spark, sf):
     rows = _rec(spark, sf)
     acked = rows.where("pmod(offset, 3) = 0").select("topic", "partition", "offset", F.lit(1).alias("seq"), F.lit("accept").alias("outcome"), F.lit("handler").alias("cause"))
     joined = rows.join(acks.first_wins(acked).select("topic", "partition", "offset", "outcome"), ["topic", "partition", "offset"], "left")
-    return joined.groupBy(F.when(F.col("outcome").isNotNull(), "ack").when(F.col("kind").isin(1, 2), "failure").otherwise("return").alias("decided_by")).agg(F.count("*").alias("n"))
+    decided = handlers.manual_outcome(F.col("outcome"), F.when(F.col("kind").isin(1, 2), F.lit("thrown")))
+    return joined.groupBy(F.when(decided == "retry", "failure").when(decided == "release", "return").otherwise("ack").alias("decided_by")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH RECURSIVE {REC}, o AS (SELECT user_id, ts_ms, "offset", duration_ms * 2000 AS d, row_number() OVER (PARTITION BY user_id ORDER BY ts_ms, "offset") AS n FROM rec),
@@ -309,17 +311,18 @@ def commit_frontier(spark, sf):
 
 
 @query(f"""WITH {REC}, d AS (SELECT "partition", "offset", CASE WHEN done THEN ("offset" // 100) % 10 + "offset" // 1000 END AS done_seq FROM rec),
-  s AS (SELECT unnest(range(0, 20)) AS drain_seq), p AS (SELECT d."partition", s.drain_seq, "offset", coalesce(done_seq <= s.drain_seq, false) AS ok FROM d, s),
+  s AS (SELECT unnest(range(0, (SELECT max(done_seq) + 1 FROM d))) AS drain_seq), p AS (SELECT d."partition", s.drain_seq, "offset", coalesce(done_seq <= s.drain_seq, false) AS ok FROM d, s),
   w AS (SELECT *, min(ok::INT) OVER (PARTITION BY "partition", drain_seq ORDER BY "offset" ROWS UNBOUNDED PRECEDING) = 1 AS prefix FROM p),
   a AS (SELECT "partition", drain_seq, coalesce(max(CASE WHEN prefix THEN "offset" + 1 END), min("offset")) AS position FROM w GROUP BY 1, 2)
   SELECT "partition", drain_seq, position, position IS DISTINCT FROM lag(position) OVER (PARTITION BY "partition" ORDER BY drain_seq) AS moved FROM a""")
 def commit_frontier_history(spark, sf):
     rows = _done(spark, sf).withColumn("done_seq", F.when(F.col("done"), F.expr("(offset div 100) % 10 + offset div 1000")))
-    drains = rows.select("topic", "partition").distinct().crossJoin(spark.range(20).select(F.col("id").alias("drain_seq")))
+    last = rows.groupBy().agg(F.max("done_seq").alias("last"))
+    drains = rows.select("topic", "partition").distinct().crossJoin(F.broadcast(last)).select("topic", "partition", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("drain_seq"))
     return frontier.position_history(rows, drains).select("partition", "drain_seq", "position", "moved")
 
 
-COMMITS = REC + """, c AS (SELECT "partition", "offset" AS position, ("offset" // 7) % 3 <> 1 AND "offset" % 1000 < 990 AS ok FROM rec WHERE "offset" % 7 = 0)"""
+COMMITS = REC + """, c AS (SELECT "partition", "offset" AS position, ("offset" // 7) % 3 <> 1 AND "offset" % 1000 < 990 AS ok FROM rec)"""
 
 
 @query(f"""WITH {COMMITS}, m AS (SELECT "partition", max(position) FILTER (ok) AS committed, max(position) FILTER (NOT ok) AS failed FROM c GROUP BY 1)
@@ -329,7 +332,7 @@ def commit_high_water(spark, sf):
 
 
 def _commits(spark: SparkSession, sf: str) -> DataFrame:
-    return _rec(spark, sf).where("offset % 7 = 0").select("topic", "partition", F.col("offset").alias("position"), F.expr("(offset div 7) % 3 <> 1 AND offset % 1000 < 990").alias("ok"))
+    return _rec(spark, sf).select("topic", "partition", F.col("offset").alias("position"), F.expr("(offset div 7) % 3 <> 1 AND offset % 1000 < 990").alias("ok"))
 
 
 @query(f"""WITH {COMMITS}, m AS (SELECT "partition", max(position) FILTER (ok AND position < 500) AS committed FROM c GROUP BY 1)
@@ -403,10 +406,12 @@ def adaptive_barrier(spark, sf):
     return barrier.adaptive_barrier(_rec(spark, sf).where("kind <> 2"), ["event_type"], ADAPTIVE)
 
 
-@query("SELECT * FROM (VALUES ('auto', 24000::BIGINT, false), ('set', 20000::BIGINT, false), ('unsafe', 30000::BIGINT, true), ('odd', 9::BIGINT, false)) t(name, ceiling_ms, unsafe)")
+@query(f"""WITH {REC}, c AS (SELECT "offset", duration_ms * 10 + "offset" % 7 AS broker_ms, CASE WHEN kind = 0 THEN NULL ELSE duration_ms * 9 + kind * 1000 END AS lock_ms FROM rec)
+  SELECT "offset", CAST(coalesce(lock_ms, broker_ms * 80 // 100) AS BIGINT) AS ceiling_ms, coalesce(lock_ms >= broker_ms, false) AS unsafe FROM c""")
 def lock_alignment(spark, sf):
-    made = {"auto": BarrierConfig(), "set": BarrierConfig(lock_ms=20_000), "unsafe": BarrierConfig(lock_ms=30_000), "odd": BarrierConfig(broker_lock_ms=12)}
-    return spark.createDataFrame([(k, c.ceiling_ms, c.lock_is_unsafe) for k, c in made.items()], "name string, ceiling_ms bigint, unsafe boolean")
+    """Every record as a setting of its own: the broker's lock, and one set by hand or not."""
+    rows = _rec(spark, sf).select("offset", F.expr("duration_ms * 10 + offset % 7").alias("broker_ms"), F.expr("case when kind > 0 then duration_ms * 9 + kind * 1000 end").alias("lock_ms"))
+    return rows.select("offset", *barrier.lock_alignment(F.col("lock_ms"), F.col("broker_ms")))
 
 
 @query(f"""WITH {REC} SELECT CAST("offset" // 16 AS BIGINT) AS batch, CAST(max(least(duration_ms, 3000)) AS BIGINT) AS cost_ms, CAST(count(*) FILTER (duration_ms > 3000) AS BIGINT) AS released FROM rec GROUP BY 1""")
@@ -441,12 +446,12 @@ def backpressure_transitions(spark, sf):
     return pressure.hysteresis(ticks, ["partition"], 8, "offset").where("event is not null").select("partition", "offset", "event")
 
 
-@query(f"""WITH {REC}, h AS (SELECT "partition", ts_ms AS s, ts_ms + 1500000 AS e FROM rec WHERE kind = 2 AND "offset" % 3 = 0),
+@query(f"""WITH {REC}, h AS (SELECT "partition", ts_ms AS s, ts_ms + 1500000 AS e FROM rec WHERE kind = 2),
   m AS (SELECT *, max(e) OVER (PARTITION BY "partition" ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u FROM h),
   k AS (SELECT *, sum(CASE WHEN u IS NULL OR s > u THEN 1 ELSE 0 END) OVER (PARTITION BY "partition" ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS span FROM m)
   SELECT "partition", min(s) AS start_ms, max(e) AS end_ms, CAST(count(*) AS BIGINT) AS holds FROM k GROUP BY "partition", span""")
 def dlq_pause_spans(spark, sf):
-    holds = _rec(spark, sf).where("kind = 2 and offset % 3 = 0").select("partition", F.col("ts_ms").alias("start_ms"), (F.col("ts_ms") + 1_500_000).alias("end_ms"))
+    holds = _rec(spark, sf).where("kind = 2").select("partition", F.col("ts_ms").alias("start_ms"), (F.col("ts_ms") + 1_500_000).alias("end_ms"))
     return pressure.pause_spans(holds, ["partition"])
 
 
@@ -511,7 +516,7 @@ def metric_counters(spark, sf):
 def metric_failures(spark, sf):
     rows = _rec(spark, sf)
     publishes = rows.where("kind = 2").select("topic", F.expr("offset % 5 <> 0").alias("ok"), F.lit("java.util.concurrent.TimeoutException").alias("error_class"))
-    commits = rows.where("offset % 7 = 0").select("topic", F.expr("offset % 70 <> 0").alias("ok"), F.lit("org.example.errors.DisconnectException").alias("error_class"))
+    commits = rows.select("topic", F.expr("offset % 70 <> 0").alias("ok"), F.lit("org.example.errors.DisconnectException").alias("error_class"))
     return metrics.failure_counters(publishes, commits)
 
 
@@ -630,23 +635,18 @@ def column_handler(spark, sf):
 # Streams: the same ledger from a file stream
 
 
-def _streamed(spark: SparkSession, sf: str) -> str:
+def _stream_folder(spark: SparkSession) -> str:
+    """A folder of its own for a stream's tables, state and checkpoint."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    target = tempfile.mkdtemp(prefix="ledger-stream-") if not base else f"{base}/ledger-stream-{abs(hash(sf))}-{spark.sparkContext.startTime}-{next(_counter)}"
-    run_ledger(spark, f"{sf}/events.parquet*", target, POLICY, _fails())
-    return target
-
-
-def _count():
-    n = 0
-    while True:
-        n += 1
-        yield n
+    return tempfile.mkdtemp(prefix="ledger-stream-") if not base else f"{base}/ledger-stream-{uuid.uuid4().hex[:12]}"
 
 
-_counter = _count()
+def _streamed(spark: SparkSession, sf: str, finished: F.Column | None = None) -> str:
+    target = _stream_folder(spark)
+    run_ledger(spark, f"{sf}/events.parquet*", target, POLICY, _fails(), finished=finished)
+    return target
 
 
 @query(ORACLE_SQL["attempt_ledger"])
@@ -655,10 +655,43 @@ def stream_ledger(spark, sf):
 
 
 @query(f"""WITH {REC}, p AS (SELECT *, min(done::INT) OVER (PARTITION BY "partition" ORDER BY "offset" ROWS UNBOUNDED PRECEDING) = 1 AS prefix FROM rec)
-  SELECT "partition", coalesce(max(CASE WHEN prefix THEN "offset" + 1 END), min("offset")) AS position FROM p GROUP BY 1""")
+  SELECT "partition", coalesce(max(CASE WHEN prefix THEN "offset" + 1 END), min("offset")) AS position, CAST(count(*) FILTER (done AND NOT prefix) AS INT) AS parked FROM p GROUP BY 1""")
 def stream_frontier(spark, sf):
-    ended = spark.read.parquet(f"{_streamed(spark, sf)}/acks").withColumn("done", F.pmod("offset", F.lit(997)) != 996)
-    return frontier.commit_positions(ended).select("partition", "position")
+    """Positions kept in state from the ledger's completion log; each partition's last row is where it stands."""
+    target = _streamed(spark, sf, finished=F.pmod("offset", F.lit(997)) != 996)
+    run_positions(spark, target)
+    return spark.read.parquet(f"{target}/positions").groupBy("partition").agg(F.max("position").alias("position"), F.max_by("parked", "position").alias("parked"))
+
+
+#: Records in five runs of offsets; run s is delivered at step s, finished (where done) at step s + 1, and its multiples of 5 are delivered again at step s + 2.
+STEPS = REC + """, b AS (SELECT min("offset") AS lo, max("offset") - min("offset") + 1 AS n FROM rec), st AS (SELECT rec.*, ("offset" - lo) * 5 // n AS run FROM rec, b)"""
+
+
+@query(f"""WITH {STEPS}, s AS (SELECT unnest(range(0, 7)) AS step), p AS (SELECT "partition", step, "offset", done AND run < step AS ok FROM st, s WHERE run <= step),
+  w AS (SELECT *, min(ok::INT) OVER (PARTITION BY "partition", step ORDER BY "offset" ROWS UNBOUNDED PRECEDING) = 1 AS prefix FROM p),
+  a AS (SELECT "partition", step, coalesce(max(CASE WHEN prefix THEN "offset" + 1 END), min("offset")) AS position, CAST(count(*) FILTER (ok AND NOT prefix) AS INT) AS parked FROM w GROUP BY 1, 2),
+  m AS (SELECT *, lag(position) OVER (PARTITION BY "partition" ORDER BY step) AS was FROM a)
+  SELECT "partition", position, parked FROM m WHERE position IS DISTINCT FROM was""")
+def stream_positions(spark, sf):
+    """Every move of a position over seven files, read one a batch in two runs: the second goes on from the first one's state."""
+    target = _stream_folder(spark)
+    rows = _done(spark, sf).select("topic", "partition", "offset", "done")
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.min("offset").alias("lo"), (F.max("offset") - F.min("offset") + 1).alias("n")))).withColumn("run", F.expr("(offset - lo) * 5 div n"))
+    place = ("topic", "partition", "offset")
+    for step in range(7):
+        part = rows.where(F.col("run") == step).select(*place, F.lit("observe").alias("kind"))
+        part = part.unionByName(rows.where((F.col("run") == step - 1) & F.col("done")).select(*place, F.lit("done").alias("kind")))
+        part = part.unionByName(rows.where((F.col("run") == step - 2) & (F.col("offset") % 5 == 0)).select(*place, F.lit("observe").alias("kind")))
+        part.coalesce(1).write.mode("append").parquet(f"{target}/completions")
+        if step in (2, 6):
+            run_positions(spark, target, 1)
+    return spark.read.parquet(f"{target}/positions").select("partition", "position", "parked")
+
+
+@query(f"""WITH {REC} SELECT "offset", topic || '.DLT' AS dlq_topic, hex(encode(value)) AS value_hex, CAST("partition" AS VARCHAR) AS part, CAST(greatest(2, delivery_count - 1) AS VARCHAR) AS attempts FROM rec WHERE kind = 2""")
+def stream_dead_letters(spark, sf):
+    h = lambda n: decode.header_last(F.col("headers"), LETTERS.prefix + n).cast("string")
+    return spark.read.parquet(f"{_streamed(spark, sf)}/dead_letters").select("offset", "dlq_topic", F.hex("value").alias("value_hex"), h("original-partition").alias("part"), h("attempt-count").alias("attempts"))
 
 
 @query(ORACLE_SQL["terminal_outcomes"])

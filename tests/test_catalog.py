@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from ledgerflow.plans import catalog
+from ledgerflow.plans import catalog, mechanisms  # noqa: F401 (adds its queries)
 
 catalog.check_names()
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

@@ -101,14 +101,14 @@ def test_outcome_tags(spark):
     "make",
     [
         lambda: DeliveryConfig(topic=" "),
-        lambda: DeliveryConfig(concurrency=0),
-        lambda: DeliveryConfig(ordering=Ordering.KEY),
-        lambda: DeliveryConfig(guarantee=Guarantee.STRICT),
-        lambda: DeliveryConfig(engine=Engine.CLASSIC, handler_timeout_ms=5),
-        lambda: DeliveryConfig(engine=Engine.CLASSIC, barrier=BarrierConfig(enabled=True)),
-        lambda: DeliveryConfig(properties={"auto.offset.reset": "earliest"}),
-        lambda: DeliveryConfig(engine=Engine.CLASSIC, properties={"share.acquire.mode": "x"}),
-        lambda: DeliveryConfig(max_poll_records=51),
+        lambda: DeliveryConfig("t", concurrency=0),
+        lambda: DeliveryConfig("t", ordering=Ordering.KEY),
+        lambda: DeliveryConfig("t", guarantee=Guarantee.STRICT),
+        lambda: DeliveryConfig("t", engine=Engine.CLASSIC, handler_timeout_ms=5),
+        lambda: DeliveryConfig("t", engine=Engine.CLASSIC, barrier=BarrierConfig(enabled=True)),
+        lambda: DeliveryConfig("t", properties={"auto.offset.reset": "earliest"}),
+        lambda: DeliveryConfig("t", engine=Engine.CLASSIC, properties={"share.acquire.mode": "x"}),
+        lambda: DeliveryConfig("t", max_poll_records=51),
         lambda: RetryPolicy(-1),
         lambda: RetryPolicy(multiplier=0.5),
         lambda: RetryPolicy(jitter=1.5),
@@ -123,9 +123,9 @@ def test_refused(make):
 
 
 def test_defaults():
-    c = DeliveryConfig(engine=Engine.CLASSIC, ordering=Ordering.KEY, properties={"auto.offset.reset": "earliest"})
+    c = DeliveryConfig("t", engine=Engine.CLASSIC, ordering=Ordering.KEY, properties={"auto.offset.reset": "earliest"})
     assert (c.shard_count, c.poll_size, c.effective_guarantee) == (200, 50, Guarantee.STRICT)
-    assert DeliveryConfig().effective_guarantee == Guarantee.LOCAL
+    assert DeliveryConfig("t").effective_guarantee == Guarantee.LOCAL
     assert broker_options("t", "h:1", max_offsets=5)["maxOffsetsPerTrigger"] == "5"
 
 
@@ -173,13 +173,13 @@ def test_registry_rolls_back():
         def stop(self):
             stopped.append(self)
 
-    @reg.handler(DeliveryConfig(), "a")
+    @reg.handler(DeliveryConfig("t"), "a")
     def a(pdf):
         return pdf
 
-    reg.handler(DeliveryConfig(), "b")(a)
+    reg.handler(DeliveryConfig("t"), "b")(a)
     with pytest.raises(ValueError):
-        reg.handler(DeliveryConfig(), "a")(a)
+        reg.handler(DeliveryConfig("t"), "a")(a)
 
     def start(r):
         if r.name == "b":
