@@ -17,7 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: UTF-8 bytes that one step of a Python operator works on, long single texts aside. Spark itself ends an Arrow batch at 64 MB.
+#: Bytes of an Arrow batch handed to Python. Spark's own bound of 64 MB costs a worker some 200 MB more.
+BATCH_BYTES = 4 << 20
+#: UTF-8 bytes that one step of a Python operator works on, long single texts aside.
 CHUNK_BYTES = 2 << 20
 
 _local_dirs: dict[str, str] = {}
@@ -70,6 +72,13 @@ class Workspace:
             target.getFileSystem(conf).delete(target, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes. A batch's bound is read when a plan runs, so there is no narrower place for it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a table's bytes, from file sizes; nothing is read. 0 where it has none (rows from the driver)."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -81,7 +90,9 @@ def spread(df: DataFrame) -> DataFrame:
 
     Only a plan of plain scans is looked at (its partitions follow from file sizes, nothing runs). Large inputs have more
     partitions than cores and pass untouched; a small file of one row group would otherwise be one task of a costly Python step.
+    Batches for that step are bounded (see bound_batches).
     """
+    bound_batches(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution()
     if "Exchange" in plan.executedPlan().toString() or plan.toRdd().getNumPartitions() >= cores:

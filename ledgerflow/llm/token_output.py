@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerflow.llm.common import by_bytes, plan_bytes
+from ledgerflow.llm.common import bound_batches, by_bytes, plan_bytes
 
 #: Parquet settings of the files: row groups of 32 MB, pages of 64 KB with at most 2,000 rows, version 2, page checksums.
 FILE_OPTIONS = {"parquet.block.size": str(32 << 20), "parquet.page.size": str(64 << 10), "parquet.page.row.count.limit": "2000", "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.page.write-checksum.enabled": "true", "compression": "zstd"}
@@ -150,6 +150,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: s
     Other columns are ignored; an empty table gives files without rows.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), plan_bytes(docs) // INPUT_PER_FILE)
     end = [] if end_id is None else [end_id]
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import Workspace
+from ledgerflow.llm.common import Workspace, bound_batches
 from ledgerflow.llm.components import connected_components, forest
 
 #: Share of pairs exactly at the threshold that all tables together may miss.
@@ -80,6 +80,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     Other columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
+    bound_batches(spark)
     work = Workspace(spark, "vector-dedup")
     read = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = F.coalesce(F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists("v", lambda x: x != 0), F.lit(False))
