@@ -58,7 +58,9 @@ class DigestIndex:
         """One row (text_sha256, keep_id, group_size) for each digest of a batch (id, text_sha256) that the index doesn't hold."""
         fresh = digests.groupBy("text_sha256").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
         self.spark.catalog.refreshTable(self.name)
-        return fresh.join(self.table().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
+        #: A group's size is never 0; asking for it keeps the optimizer from moving the join below the aggregate, where every copy of a hot text would meet in one task.
+        held = self.table().select(F.col("text_sha256").alias("held")).hint("merge")
+        return fresh.join(held, (F.col("text_sha256") == F.col("held")) & (F.col("group_size") > 0), "left_anti")
 
     def add(self, digests: DataFrame) -> None:
         """Append what the index lacks. Adding a batch again appends nothing, so a batch that was broken off can be rerun."""

@@ -4,6 +4,7 @@ import collections
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerflow.llm import exact_dedup, html_extract, pii, piece_lattice
@@ -134,3 +135,11 @@ def test_exact_dedup_meets_the_index_by_anti_join_always(spark):
     assert exact_dedup.exact_duplicates(docs, first).count() == 3
     #: Opened while the index was empty, filled since.
     assert exact_dedup.exact_duplicates(docs, second).count() == 3 and second.table().count() == 2
+
+
+def test_exact_dedup_aggregates_before_the_anti_join(spark):
+    index = exact_dedup.fresh_index(spark)
+    digests = spark.range(100).select("id", exact_dedup.text_digest(F.lit("one")).alias("text_sha256"))
+    plan = index.unseen(digests)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftAnti") < plan.index("Aggregate")
+    assert index.unseen(digests).count() == 1
