@@ -1,8 +1,8 @@
 """Connected components of a link table, by star contraction on DataFrames.
 
-Links never reach the driver: it only sees two counts for each round. A hub's
-links are split by adaptive skew joins, as the minimum for each node comes from
-a partial aggregate and is joined back.
+Links never reach the driver: it only sees whether a round left anything to do. The
+smallest neighbour of each node comes from a partial aggregate that is written and joined
+back: adaptive skew joins split a hub's links only where both sides come straight from a shuffle.
 """
 
 from __future__ import annotations
@@ -75,18 +75,20 @@ def connected_components(work: Workspace, links: DataFrame) -> DataFrame:
     edges = work.save(contract(links).distinct(), "links")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        low = work.save(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "low")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = work.save(large, "large")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        work.drop(low)
+        low = work.save(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         pairs = large.join(low, "a")
         small = pairs.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(pairs.select("a", F.col("m").alias("b"))).distinct()
         stars = work.save(small, "small")
-        work.drop(edges)
-        work.drop(large)
+        for done in (edges, large, low):
+            work.drop(done)
         edges = stars
         many = edges.groupBy("a").count().where("count > 1")
-        chained = edges.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a")
+        #: Nodes that links lead to and from; a hub is one row of each task before they meet.
+        chained = edges.select(F.col("b").alias("a")).distinct().join(edges.select("a").distinct(), "a", "left_semi")
         if not many.select("a").unionByName(chained).take(1):
             break
     own = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
