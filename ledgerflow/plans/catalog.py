@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.config import BarrierConfig, DeadLetterConfig, Ordering, RetryPolicy
 from ledgerflow.functions import decode, keys, retry
-from ledgerflow.operators import acks, attempts, barrier, dead_letters, dispatch, frontier, handlers, metrics, pressure, verify
+from ledgerflow.operators import acks, attempts, barrier, dead_letters, dispatch, frontier, handlers, metrics, pressure, sessions, verify
 from ledgerflow.sources.records import epoch_ms, from_position, read_events, records_from_events
 from ledgerflow.streaming.pipeline import run_ledger, run_positions
 
@@ -607,8 +607,7 @@ def throughput_sliding(spark, sf):
   g AS (SELECT *, sum(CASE WHEN p IS NULL OR t - p >= 7200000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS s FROM o)
   SELECT user_id, min(t) AS start_ms, max(t) + 7200000 AS end_ms, CAST(count(*) AS BIGINT) AS n FROM g GROUP BY user_id, s""")
 def throughput_session(spark, sf):
-    s = read_events(spark, sf).groupBy("user_id", F.session_window("ts", "2 hours").alias("s")).agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("a"), F.col("s.end").alias("b"), "n")
-    return s.select("user_id", epoch_ms("a").alias("start_ms"), epoch_ms("b").alias("end_ms"), "n")
+    return sessions.sessions(read_events(spark, sf).withColumn("ts_ms", epoch_ms("ts")), ["user_id"], 7_200_000)
 
 
 @query(f'WITH {REC} SELECT "offset", duration_ms FROM rec ORDER BY duration_ms DESC, "offset" LIMIT 20')
